@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import copies, overlap, related
+from . import copies, garble, leaks, mixing, overlap, personal, related, tokens, unify
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +49,60 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return related.assign_splits(_samples(spark, d)).groupBy("new_split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("group_id").alias("groups"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p2_records, p4_found, p4_containment, p4_report, p5_found, p5_splits, p5_shares)}
+def _token_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    return tuple(table(spark, d, t) for t in ("prepare_dataset", "documents", "langs", "sources"))
+
+
+def p3_budget(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_budget(*_token_tables(spark, d))
+
+
+def p3_rows(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_rows(*_token_tables(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return unify.lookalike_fields(_samples(spark, d), table(spark, d, "sources"))
+
+
+def p6_unified(spark: SparkSession, d: str) -> DataFrame:
+    return unify.unified(_samples(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return garble.garbled_fields(_samples(spark, d), table(spark, d, "sources")).select("row_id", "field")
+
+
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garble.garbled_fields(_samples(spark, d), table(spark, d, "sources"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "test_items")).select("item_id", "doc_id")
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "test_items"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "sources"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "sources"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.find_mentions(table(spark, d, "documents"), table(spark, d, "name_lexicon")).select("doc_id", "kind", "start_pos")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+
+
+_ALL = (p2_found, p2_groups, p2_records, p3_budget, p3_rows, p4_found, p4_containment, p4_report, p5_found, p5_splits, p5_shares, p6_found, p6_unified, p7_found, p7_restored, p8_found, p8_passages, p9_mix, p9_shares, p10_found, p10_redacted)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _NOBODY = ", ".join("'" + x.replace("'", "''") + "'" for x in related.NOBODY)
 SQL = {
@@ -66,4 +119,10 @@ reach(u, v) AS (SELECT DISTINCT doc, doc FROM docs UNION SELECT reach.u, edge.v
 root AS (SELECT u AS doc, min(v) AS group_id FROM reach GROUP BY u),
 rows_ AS (SELECT group_id, row_id, split FROM docs JOIN root USING (doc))
 SELECT group_id, row_id FROM rows_ WHERE group_id IN (SELECT group_id FROM rows_ GROUP BY 1 HAVING min(split) <> max(split))""",
+    "p8_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM test_items),
+dw AS (SELECT doc_id, array_to_string(w[k : k + 14], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS k FROM d)),
+iw AS (SELECT item_id, array_to_string(w[k : k + 14], ' ') AS x FROM (SELECT item_id, w, unnest(range(1, len(w) - 13)) AS k FROM i))
+SELECT DISTINCT item_id, doc_id FROM dw JOIN iw USING (x)""",
 }
