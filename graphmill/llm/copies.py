@@ -9,12 +9,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut
 from .canon import canonical_graph, plain_sentence
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def graph_form(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: canonical_graph(t) if t is not None else "")
 

@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut
 from .canon import canonical_graph
@@ -41,7 +42,7 @@ def word_hashes(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: F.xxhash64(w))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def renamed_graph(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: canonical_graph(t, True) if t and t.strip() else None)
 
