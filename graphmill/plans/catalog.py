@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import checks
+from . import batches, checks, graphs, prepare, scores, tables, words
 
 QUERIES = {}
 SQL: dict[str, str] = {}
-for module in (checks,):
+for module in (checks, prepare, words, batches, tables, graphs, scores):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
