@@ -53,7 +53,15 @@ def match(pred, gold, pred_top: str | None = None, gold_top: str | None = None,
     n, m = len(x.vars), len(y.vars)
     if not n:
         return Counts(0, a.total, b.total)
-    single = [[sum((u & v).values()) for v in y.unary] for u in x.unary]
+    single = [[0] * m for _ in range(n)]
+    holders: dict[tuple[str, str], list[tuple[int, int]]] = {}
+    for j, v in enumerate(y.unary):
+        for key, k in v.items():
+            holders.setdefault(key, []).append((j, k))
+    for i, u in enumerate(x.unary):
+        for key, k in u.items():
+            for j, k2 in holders.get(key, ()):
+                single[i][j] += min(k, k2)
     # what a pair of mapped variables gains: edges of one role between both
     by_role: dict[str, list] = {}
     for (r, s, t), k in y.edges.items():
@@ -80,14 +88,17 @@ def match(pred, gold, pred_top: str | None = None, gold_top: str | None = None,
     # variables of one name and concept begin together; no mapping matches more than what both graphs hold of each kind
     at = {v: j for j, v in enumerate(y.vars)}
     start = [at[v] if v in at and single[i][at[v]] else -1 for i, v in enumerate(x.vars)]
-    bound = sum((sum(x.unary, Counter()) & sum(y.unary, Counter())).values()) + sum((_roles(x) & _roles(y)).values())
+    bound = sum((_kinds(x) & _kinds(y)).values())
     return Counts(_climb(n, m, single, double, gain_of, seed, start, bound), a.total, b.total)
 
 
-def _roles(p: _Parts) -> Counter:
+def _kinds(p: _Parts) -> Counter:
+    """How often a graph holds each concept, attribute and role."""
     out: Counter = Counter()
+    for u in p.unary:
+        out.update(u)
     for (r, _, _), k in p.edges.items():
-        out[r] += k
+        out["edge", r] += k
     return out
 
 
@@ -144,7 +155,10 @@ def _climb(n: int, m: int, single, double, gain_of, seed: int, start: list[int],
         def value(i: int) -> int:
             return gain_of(i, to[i], to) if to[i] >= 0 else 0
 
-        improved = True
+        def score() -> int:
+            return sum(single[i][to[i]] for i in range(n) if to[i] >= 0) + sum(g for i in range(n) for (k, l), g in double.get((i, to[i]), {}).items() if k > i and to[k] == l)
+
+        improved = score() < bound
         while improved:
             improved = False
             for i in range(n):
@@ -180,8 +194,7 @@ def _climb(n: int, m: int, single, double, gain_of, seed: int, start: list[int],
                             owner[old] = k
                     to[i], owner[j] = j, i
                     improved = True
-        score = sum(single[i][to[i]] for i in range(n) if to[i] >= 0) + sum(g for i in range(n) for (k, l), g in double.get((i, to[i]), {}).items() if k > i and to[k] == l)
-        top = max(top, score)
+        top = max(top, score())
         if top >= bound:
             break
     return top

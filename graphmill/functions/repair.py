@@ -56,6 +56,8 @@ def _clean(tokens: list[str]) -> list[str]:
         m = _POINTER.match(t)
         if m:
             out += [m[1], m[2]] if m[2] else [m[1]]
+        elif t == ":negation":
+            out += [":polarity", "-"]
         elif not (t[:1] == "<" and t[-1:] == ">"):
             out.append(t)
     joined: list[str] = []
@@ -74,6 +76,7 @@ def _names(tokens: list[str]) -> dict[str, str]:
     for before, pointer, concept in zip(["(", *tokens], tokens, tokens[1:]):
         if before == "(" and pointer.startswith("<pointer:"):
             letter = next((c.lower() for c in concept if c.isalpha()), "x")
+            letter = letter if "a" <= letter <= "z" else "x"
             seen[letter] += 1
             out[pointer] = letter + (str(seen[letter]) if seen[letter] > 1 else "")
     return out

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rejects
-from ..session import table
+from ..session import wide_table
 
 
 def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, d, "predictions"), table(spark, d, "prediction_lines")
+    return wide_table(spark, d, "predictions"), wide_table(spark, d, "prediction_lines")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

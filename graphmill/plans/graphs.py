@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import graphs as G
-from ..session import table
+from ..session import wide_table
 from .base import BLANKS
 
 QUERIES, SQL = {}, {}
@@ -26,11 +26,11 @@ _BARE = f"regexp_replace(regexp_replace(penmanstr, '{BLANKS}', ' ', 'g'), '\"[^\
 
 
 def _decoded(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "prepare_dataset").select("row_id", G.decode_graph("penmanstr").alias("g"))
+    return wide_table(spark, d, "prepare_dataset").select("row_id", G.decode_graph("penmanstr").alias("g"))
 
 
 def _triples(spark: SparkSession, d: str) -> DataFrame:
-    return G.triples_of(table(spark, d, "prepare_dataset"), "row_id", "penmanstr")
+    return G.triples_of(wide_table(spark, d, "prepare_dataset"), "row_id", "penmanstr")
 
 
 @_query()
@@ -104,19 +104,19 @@ def varname_allocation(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def linearize_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "prepare_dataset").select("row_id", G.linear_tokens("penmanstr").alias("tokens"))
+    return wide_table(spark, d, "prepare_dataset").select("row_id", G.linear_tokens("penmanstr").alias("tokens"))
 
 
 @_query(r"SELECT row_id, len(regexp_extract_all(penmanstr, ':polarity\s+-'))::bigint AS negations FROM prepare_dataset")
 def negation_token(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "prepare_dataset").select("row_id", G.linear_tokens("penmanstr").alias("t"))
+    t = wide_table(spark, d, "prepare_dataset").select("row_id", G.linear_tokens("penmanstr").alias("t"))
     return t.select("row_id", F.size(F.filter("t", lambda x: x == ":negation")).cast("long").alias("negations"))
 
 
 @_query()
 def roundtrip_failures(spark: SparkSession, d: str) -> DataFrame:
     """Graphs that do not come back from their own tokens with every triple; status and number."""
-    t = table(spark, d, "prepare_dataset").select("penmanstr", G.linear_tokens("penmanstr").alias("t"))
+    t = wide_table(spark, d, "prepare_dataset").select("penmanstr", G.linear_tokens("penmanstr").alias("t"))
     back = t.select("penmanstr", G.decode_token_list("t").alias("b"))
     m = back.select("b.status", G.match_graphs(G.encode_graph("b.triples"), "penmanstr").alias("m"))
     whole = (F.col("m.matched") == F.col("m.n_gold")) & (F.col("m.matched") == F.col("m.n_pred"))
@@ -125,13 +125,13 @@ def roundtrip_failures(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def decode_status(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "predictions").select("system", G.decode_any("penman_str").alias("r"))
+    p = wide_table(spark, d, "predictions").select("system", G.decode_any("penman_str").alias("r"))
     return p.groupBy("system", "r.status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query()
 def repair_graph(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "predictions").select("pred_id", G.decode_any("penman_str").alias("r"))
+    p = wide_table(spark, d, "predictions").select("pred_id", G.decode_any("penman_str").alias("r"))
     return p.select("pred_id", "r.status", G.encode_graph("r.triples").alias("graph"))
 
 
@@ -139,7 +139,7 @@ def repair_graph(spark: SparkSession, d: str) -> DataFrame:
 def delinearize(spark: SparkSession, d: str) -> DataFrame:
     """Graph text in tags and back."""
     line = F.array_join(G.linear_tokens("penmanstr"), " ")
-    return table(spark, d, "prepare_dataset").select("row_id", G.delinearized(G.literals_tagged(line)).alias("text"))
+    return wide_table(spark, d, "prepare_dataset").select("row_id", G.delinearized(G.literals_tagged(line)).alias("text"))
 
 
 @_query()

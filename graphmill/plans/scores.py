@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import graphs as G
 from ..operators import scoring as S
-from ..session import table
+from ..session import table, wide_table
 
 QUERIES, SQL = {}, {}
 N = 200
@@ -99,7 +99,7 @@ def significance_table(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def match_counts(spark: SparkSession, d: str) -> DataFrame:
     """Graphs of predictions matched with their references."""
-    pairs = table(spark, d, "predictions").filter("reference_penman_str is not null")
+    pairs = wide_table(spark, d, "predictions").filter("reference_penman_str is not null")
     return pairs.select("pred_id", "system", G.match_graphs("penman_str", "reference_penman_str").alias("m")).select("pred_id", "system", "m.*")
 
 

@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same for work that is heavy on CPU: a table of fewer scan tasks than cores is dealt out over them.
+
+    Projections and filters still reach the scan. Large tables have more tasks than cores and are read as they are.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the one the session names in ``spark.checkpoint.dir``; a local one only where it is unset."""
     sc = spark.sparkContext
