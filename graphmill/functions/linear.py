@@ -7,7 +7,7 @@ from collections.abc import Callable, Collection
 
 from .penman import LITERAL
 
-_TOKEN = re.compile(rf'{LITERAL}|[()/]|:[^\s()"/]+|[^\s()"/:]+|\S', re.S)
+_TORN = re.compile(r"[()/]|:?[^\s()/:]+|:")
 _ATOM = re.compile(rf'{LITERAL}|[()/]|[^\s()"/]+|\S', re.S)
 POINTER = re.compile(r"<pointer:\d+>")
 _WEB = re.compile(r"(?:(?:http|ftp)s?://)?(?:(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+(?:[a-z]{2,6}\.?|[a-z0-9-]{2,}\.?)|localhost|\d{1,3}(?:\.\d{1,3}){3})(?::\d+)?(?:/?|[/?]\S+)$", re.I)
@@ -29,7 +29,7 @@ def linearize(text: str, tear_literals: bool = False) -> list[str]:
     """
     raw = _ATOM.findall(text.replace("–", "-"))
     if tear_literals:
-        raw = [p for t in raw for p in ((_TOKEN.findall(" ".join(t.split())) if " " in t and t[0] == '"' else [t]))]
+        raw = [p for t in raw for p in (_TORN.findall(t) if t[0] == '"' and re.search(r"\s", t) else [t])]
     names: dict[str, str] = {}
     for name, slash in zip(raw, raw[1:]):
         if slash == "/":

@@ -81,7 +81,7 @@ def budget_batches(df: DataFrame, budget: int = 500, chunk: int = CHUNK) -> Data
     ahead = rows.filter((F.col("r") % chunk < budget) & (F.col("c") > 0)).withColumn("c", F.col("c") - 1)
     both = rows.unionByName(ahead)
 
-    def exits(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def exits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r")
         lengths, own = pdf["length"].tolist(), int((pdf["r"] // chunk == key[1]).sum())
         out, count = [0] * (own + 1), [0] * (own + 1)
@@ -93,7 +93,7 @@ def budget_batches(df: DataFrame, budget: int = 500, chunk: int = CHUNK) -> Data
 
     table = both.groupBy("group", "c").applyInPandas(exits, "group string, c long, entry long, exit long, batches long, rows long")
 
-    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Entry and first batch of each chunk of a group, from its few rows."""
         by = {(c, e): (x, b) for c, e, x, b in zip(pdf["c"], pdf["entry"], pdf["exit"], pdf["batches"])}
         rows_of = dict(zip(pdf["c"], pdf["rows"]))
@@ -111,7 +111,7 @@ def budget_batches(df: DataFrame, budget: int = 500, chunk: int = CHUNK) -> Data
     starts = starts.select(F.col("group").alias("g2"), F.col("c").alias("c2"), "entry", "first")
     placed = both.join(starts, both["group"].eqNullSafe(starts["g2"]) & (both["c"] == starts["c2"])).drop("g2", "c2")
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r").reset_index(drop=True)
         lengths, own = pdf["length"].tolist(), int((pdf["r"] // chunk == key[1]).sum())
         i, b = int(pdf["entry"].iloc[0]), int(pdf["first"].iloc[0])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import zipfile
@@ -51,20 +52,31 @@ def exact_names(df: DataFrame, *names: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
+def _archive() -> bytes:
+    """This package as a zip file, empty where it isn't in a folder of its own."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for at, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(at, f)
+                    z.write(full, os.path.join(os.path.basename(root), os.path.relpath(full, root)))
+    return out.getvalue()
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once an application; needed where it isn't installed there."""
+    """Sends this package to the executors' Python, once an application; needed where it isn't installed there.
+
+    The archive lies in the shared checkpoint folder, whatever its file system; a local folder serves local masters only.
+    """
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
-    root = os.path.dirname(os.path.abspath(__file__))
-    if os.path.isdir(root):
-        folder = tempfile.mkdtemp(prefix="graphmill-")
-        path = os.path.join(folder, "graphmill-src.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for at, _, files in os.walk(root):
-                for f in sorted(files):
-                    if f.endswith(".py"):
-                        full = os.path.join(at, f)
-                        z.write(full, os.path.join("graphmill", os.path.relpath(full, root)))
-        sc.addPyFile(path)
+    data = bytearray(_archive())
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/graphmill-{sc.applicationId}.zip")
+    stream = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    stream.write(data, 0, len(data))
+    stream.close()
+    sc.addPyFile(path.toString())
     _shipped.add(sc.applicationId)
