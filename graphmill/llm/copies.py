@@ -46,6 +46,8 @@ def copy_links(keys: DataFrame) -> DataFrame:
 
 
 def deduplicated(df: DataFrame) -> DataFrame:
-    """The kept record of each group, all its columns, with its number of copies."""
-    groups = collapse(keyed(df)).select(F.col("keep_id").alias("_keep"), F.col("copies").alias("n_copies"))
-    return df.drop("n_copies").join(groups, F.col("row_id") == F.col("_keep")).drop("_keep")
+    """The kept record of each group, all its columns, with its number of copies as n_copies (a column of that name is replaced)."""
+    groups = collapse(keyed(df)).select("keep_id", "copies")
+    own = df.drop("n_copies")
+    kept = own.join(groups, own["row_id"] == groups["keep_id"])
+    return kept.select(*(own[c] for c in own.columns), groups["copies"].alias("n_copies"))

@@ -39,6 +39,8 @@ LOST = "�"
 BIGRAMS, UNIGRAMS = 1 << 18, 1 << 14
 #: Weight of the unigram estimate in a bigram estimate, and of a character never seen.
 KAPPA, NEVER = 5.0, 1e-9
+#: What a reading loses for each of its characters that the corpus nowhere has, as a log.
+UNSEEN = -4.0
 ROUNDS = 15
 SUSPECT = r"[^\x00-\x7f]{2}|\x{FFFD}"
 _SUSPECT = re.compile("[^\x00-\x7f]{2}|�")
@@ -124,8 +126,8 @@ class Model:
     theta: dict[str, np.ndarray] = field(default_factory=dict)
     letters: dict[int, str] = field(default_factory=dict)
 
-    def chain(self, text: str, lang: int) -> float:
-        """Log-probability of a text's transitions."""
+    def chain(self, text: str, lang: int, own: int = 0) -> float:
+        """Log-probability of a text's transitions; ``own`` of each transition's count are the text's own and don't speak for it."""
         total = 0.0
         n = self.n = getattr(self, "n", None) or self.one.sum() / 2 or 1.0
         for x, y in zip(text, text[1:]):
@@ -133,18 +135,18 @@ class Model:
             p = 0.0
             for l, w in ((lang, 0.7), (0, 0.3)):
                 unigram = self.one[_cell1(b, l)] / n
-                p += w * (self.two[_cells(a, b, l)] + KAPPA * unigram) / (self.one[_cell1(a, l)] + KAPPA)
+                p += w * (max(self.two[_cells(a, b, l)] - own, 0) + KAPPA * unigram) / (self.one[_cell1(a, l)] + KAPPA)
             total += math.log(p + NEVER)
         return total
 
     def weigh(self, left: str, segment: str, right: str, plains, lang: int, theta: np.ndarray) -> np.ndarray:
         """Responsibility of each cipher and of the segment being right."""
         logs = np.full(CLEAN + 1, -np.inf)
-        logs[CLEAN] = self.chain(left + segment + right, lang) + math.log(theta[CLEAN] + 1e-12)
+        logs[CLEAN] = self.chain(left + segment + right, lang, 1) + math.log(theta[CLEAN] + 1e-12)
         seen: dict[str, float] = {}
         for i, z in plains:
             if z not in seen:
-                seen[z] = self.chain(left + z + right, lang)
+                seen[z] = self.chain(left + z + right, lang) + UNSEEN * sum(not self.one[_cell1(ord(c), 0)] for c in z)
             logs[i] = seen[z] + math.log(theta[i] + 1e-12)
         w = np.exp(logs - logs.max())
         return w / w.sum()
@@ -202,14 +204,20 @@ def _lang_code(values: pd.Series) -> np.ndarray:
     return (pd.to_numeric(values, errors="coerce").fillna(-1).astype("int64") + 2).clip(lower=1).to_numpy()
 
 
+#: Suspicious stretches are learned from in pieces of so many characters, so their inventory is bounded by the alphabets.
+PIECE = 8
+
+
 def _contexts(text: str):
+    """(character before, suspicious piece, character after) of a text."""
     for m in _RUN.finditer(text):
-        run = m[0]
-        if len(run) < 2 or not readings(run):
+        run, base = m[0], m.start()
+        if len(run) < 2:
             continue
-        left = text[m.start() - 1] if m.start() else " "
-        right = text[m.end()] if m.end() < len(text) else " "
-        yield left, run, right
+        for a, b, _ in readings(run):
+            for k in range(base + a, base + b, PIECE):
+                end = min(k + PIECE, base + b)
+                yield text[k - 1] if k else " ", text[k:end], text[end] if end < len(text) else " "
 
 
 def _count(batches):
@@ -277,7 +285,7 @@ def learn(df: DataFrame, sources: DataFrame, fields: tuple[str, str] = ("sentenc
             model.letters[lang] = model.letters.get(lang, "") + chr(c)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    def of_source(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def of_source(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(zip(pdf["lang"].tolist(), pdf["left"], pdf["run"], pdf["right"], pdf["n"].tolist()))
         return pd.DataFrame({"source": [key[0]], "theta": [em(sent.value, rows).tolist()]})
 

@@ -254,8 +254,8 @@ def _use(names: Names):
                         given[words[i - 1][2].lower()] += 1
                     elif k & FAMILY and after == "c":
                         given[words[i + 1][2].lower()] += 1
-        # compounds are learned by their parts; words never beside a name need not leave the task
-        rows = [(w, total[w], given[w], family[w]) for w in total if given[w] or family[w] or len(w) < 40]
+        # a word that is nowhere beside a name here may be so in another task, so all leave the task, once each
+        rows = [(w, n, given[w], family[w]) for w, n in total.items()]
         cols = list(zip(*rows)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["w", "n", "g", "f"])
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import table, wide_table
 from . import copies, garble, leaks, mixing, overlap, personal, related, tokens, unify
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "prepare_dataset")
+    return wide_table(spark, d, "prepare_dataset")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,7 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _token_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
-    return tuple(table(spark, d, t) for t in ("prepare_dataset", "documents", "langs", "sources"))
+    return *(wide_table(spark, d, t) for t in ("prepare_dataset", "documents")), table(spark, d, "langs"), table(spark, d, "sources")
 
 
 def p3_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -78,27 +78,27 @@ def p7_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "test_items")).select("item_id", "doc_id")
+    return leaks.leaks(wide_table(spark, d, "documents"), table(spark, d, "test_items")).select("item_id", "doc_id")
 
 
 def p8_passages(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "test_items"))
+    return leaks.leaks(wide_table(spark, d, "documents"), table(spark, d, "test_items"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "sources"))
+    return mixing.mix(wide_table(spark, d, "documents"), table(spark, d, "sources"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(table(spark, d, "documents"), table(spark, d, "sources"))
+    return mixing.shares(wide_table(spark, d, "documents"), table(spark, d, "sources"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return personal.find_mentions(table(spark, d, "documents"), table(spark, d, "name_lexicon")).select("doc_id", "kind", "start_pos")
+    return personal.find_mentions(wide_table(spark, d, "documents"), table(spark, d, "name_lexicon")).select("doc_id", "kind", "start_pos")
 
 
 def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return personal.redacted(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+    return personal.redacted(wide_table(spark, d, "documents"), table(spark, d, "name_lexicon"))
 
 
 _ALL = (p2_found, p2_groups, p2_records, p3_budget, p3_rows, p4_found, p4_containment, p4_report, p5_found, p5_splits, p5_shares, p6_found, p6_unified, p7_found, p7_restored, p8_found, p8_passages, p9_mix, p9_shares, p10_found, p10_redacted)

@@ -93,7 +93,7 @@ def _sql() -> tuple[str, str]:
 def _connection():
     import duckdb
 
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
     _, many = compatibility()
     con.register("several_", pa.table({"k": list(many), "v": list(many.values())}))
     con.execute("CREATE TABLE several AS SELECT * FROM several_")
