@@ -15,15 +15,15 @@ def grouped_rank(df: DataFrame, group: list[str], order: list[Column], name: str
     the group's rows in earlier partitions. The counts that are summed have a row for each partition and group in it.
     """
     keys = [F.col(g) for g in group]
-    own = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_m", F.monotonically_increasing_id())
-    own = cut(own.select("*", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("_i")).drop("_m"))
-    firsts = own.groupBy("_p", *group).agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = firsts.select(F.col("_p").alias("_q"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-    same = own["_p"] == firsts["_q"]
+    own = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__rank_m", F.monotonically_increasing_id())
+    own = cut(own.select("*", F.shiftright("__rank_m", 33).alias("__rank_p"), F.col("__rank_m").bitwiseAND((1 << 33) - 1).alias("__rank_i")).drop("__rank_m"))
+    firsts = own.groupBy("__rank_p", *group).agg(F.min("__rank_i").alias("__rank_first"), F.count(F.lit(1)).alias("__rank_n"))
+    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__rank_p").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.select(F.col("__rank_p").alias("__rank_q"), *(F.col(g).alias(f"__rank_g{i}") for i, g in enumerate(group)), (F.coalesce(F.sum("__rank_n").over(earlier), F.lit(0)) - F.col("__rank_first")).alias("__rank_shift"))
+    same = own["__rank_p"] == firsts["__rank_q"]
     for i, g in enumerate(group):
-        same = same & own[g].eqNullSafe(firsts[f"_g{i}"])
-    return own.join(firsts, same).withColumn(name, (F.col("_i") + F.col("_shift")).cast("long")).drop("_p", "_i", "_q", "_shift", *(f"_g{i}" for i in range(len(group))))
+        same = same & own[g].eqNullSafe(firsts[f"__rank_g{i}"])
+    return own.join(firsts, same).withColumn(name, (F.col("__rank_i") + F.col("__rank_shift")).cast("long")).drop("__rank_p", "__rank_i", "__rank_q", "__rank_shift", *(f"__rank_g{i}" for i in range(len(group))))
 
 
 def keep_first(df: DataFrame, key: Column, order: list[Column], id_col: str) -> DataFrame:

@@ -70,7 +70,7 @@ def read_corpora(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, line of all text files of a folder; next-line signs are blanks, other line ends of Unicode split too."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     lines = F.split(X.next_line_to_space(F.col("value")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{2028}\x{2029}]")
     return raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode(lines).alias("line_no", "line"))
 

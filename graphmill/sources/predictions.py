@@ -24,7 +24,7 @@ def read_systems(spark: SparkSession, paths: list[str], names: list[str]) -> Dat
 
 def read_statistics(spark: SparkSession, path: str) -> DataFrame:
     """tokenizer, split, stats of a document {tokenizer: {split: {statistic: value}}}, flattened by two explodes."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     nested = F.from_json("value", "map<string,map<string,map<string,string>>>")
     outer = text.select(F.explode(nested).alias("tokenizer", "splits"))
     return outer.select("tokenizer", F.explode("splits").alias("split", "stats"))
