@@ -50,29 +50,34 @@ CIPHERS = tuple((p, k) for k in DEPTHS for p in PAGES)
 CLEAN = len(CIPHERS)
 
 
+class ByteTable(dict):
+    """Character to byte (as a character below 256) of a code page, for str.translate(); other characters become no byte."""
+
+    def __missing__(self, key: int) -> str:
+        return "\uffff"
+
+
 @lru_cache(maxsize=None)
-def byte_table(page: str) -> dict[int, int]:
-    """Character to byte of a code page, for translate(); bytes the page leaves undefined stand for themselves, as in browsers."""
-    table = {}
+def byte_table(page: str) -> ByteTable:
+    """The table of a page; bytes the page leaves undefined stand for themselves, as in browsers."""
+    table = ByteTable()
     for b in range(128, 256):
         try:
             c = bytes([b]).decode(page)
         except UnicodeDecodeError:
             c = chr(b)
-        table.setdefault(ord(c), b)
+        table.setdefault(ord(c), chr(b))
     return table
 
 
 def segments(run: str, page: str) -> list[tuple[int, int, str]]:
     """(start, end, plain) of the stretches of a run that are the UTF-8 bytes of something, read through this page."""
-    table = byte_table(page)
-    as_bytes = "".join(chr(table[ord(c)]) if ord(c) in table else "￿" for c in run)
-    return [(m.start(), m.end(), m[0].encode("latin-1").decode("utf-8")) for m in _UTF8.finditer(as_bytes)]
+    return [(m.start(), m.end(), m[0].encode("latin-1").decode("utf-8")) for m in _UTF8.finditer(run.translate(byte_table(page)))]
 
 
 def garble(text: str, page: str) -> str:
     """The cipher itself: UTF-8 read through a page, undefined bytes standing for themselves."""
-    back = {b: chr(c) for c, b in byte_table(page).items()}
+    back = {ord(b): chr(c) for c, b in byte_table(page).items()}
     return "".join(c if ord(c) < 128 else "".join(back[b] for b in c.encode("utf-8")) for c in text)
 
 
