@@ -6,13 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .ranking import grouped_rank, keep_first
+from .ranking import first_values, grouped_rank, keep_first
+
+
+def _scan_order() -> list:
+    """Language (rows without one last), split."""
+    return [F.coalesce("src_lang_idx", F.lit(2**31 - 1)), X.split_place(F.col("split"))]
 
 
 def first_of_sentence(rows: DataFrame) -> DataFrame:
     """Of each sentence the first row in scan order: language, split, row. Empty sentences are one sentence."""
-    lang = F.coalesce("src_lang_idx", F.lit(2**31 - 1))
-    return keep_first(rows, F.unhex(F.md5("s")), [lang, X.split_place(F.col("split"))], "row_id")
+    return keep_first(rows, F.unhex(F.md5("s")), _scan_order(), "row_id")
+
+
+def first_of_sentence_values(rows: DataFrame, *carry: str) -> DataFrame:
+    """The same rows, of which only some narrow columns are wanted; so the rows are not joined back."""
+    return first_values(rows, F.unhex(F.md5("s")), [*_scan_order(), F.col("row_id")], list(carry))
 
 
 def assigned_languages(rows: DataFrame, languages: int, lead: int = 0) -> DataFrame:

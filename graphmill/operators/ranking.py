@@ -31,3 +31,10 @@ def keep_first(df: DataFrame, key: Column, order: list[Column], id_col: str) ->
     place = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col(id_col).alias("id"))
     kept = df.select(key.alias("_k"), place.alias("_o")).groupBy("_k").agg(F.min("_o").alias("_o")).select(F.col("_o.id").alias("_kept"))
     return df.join(kept, df[id_col] == kept["_kept"], "left_semi")
+
+
+def first_values(df: DataFrame, key: Column, order: list[Column], carry: list[str]) -> DataFrame:
+    """The columns ``carry`` of the first row of each key by ``order`` (ending in a unique one): one shuffle, no join."""
+    place = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
+    kept = df.select(key.alias("_k"), place.alias("_o")).groupBy("_k").agg(F.min("_o").alias("_o"))
+    return kept.select(*(F.col(f"_o.c{i}").alias(c) for i, c in enumerate(carry)))

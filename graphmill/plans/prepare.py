@@ -24,14 +24,15 @@ def _query(sql: str | None = None):
     return add
 
 
-def _deduplicated(spark: SparkSession, d: str) -> DataFrame:
-    return prepare.first_of_sentence(unwrapped(normalised(spark, d)))
+def _deduplicated(spark: SparkSession, d: str, *carry: str) -> DataFrame:
+    rows = unwrapped(normalised(spark, d)).withColumn("chars", F.length("s"))
+    return prepare.first_of_sentence_values(rows, *carry)
 
 
 @_query(f"WITH {PREPARED} SELECT split, count(*)::bigint AS n, sum(length(s))::bigint AS chars FROM s2 GROUP BY split")
 def prep_split_sizes(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: blanks, texts in punctuation, repeated sentences, sizes."""
-    return _deduplicated(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("s")).cast("long").alias("chars"))
+    return _deduplicated(spark, d, "split", "chars").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").cast("long").alias("chars"))
 
 
 @_query(f"SELECT row_id, md5({squeezed('sentence')}) AS hash, length({squeezed('sentence')})::bigint AS chars, {words('sentence')}::bigint AS words FROM prepare_dataset WHERE sentence IS NOT NULL")
@@ -47,13 +48,13 @@ def prep_bracket_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {PREPARED} SELECT row_id, split FROM s2")
 def prep_dedupe_keep_first(spark: SparkSession, d: str) -> DataFrame:
-    return _deduplicated(spark, d).select("row_id", "split")
+    return _deduplicated(spark, d, "row_id", "split")
 
 
 @_query(f"WITH {PREPARED} SELECT a.split, a.n::bigint AS n_before, coalesce(b.n, 0)::bigint AS n_after, (a.n - coalesce(b.n, 0))::bigint AS dropped FROM (SELECT split, count(*) AS n FROM s1 GROUP BY 1) a LEFT JOIN (SELECT split, count(*) AS n FROM s2 GROUP BY 1) b USING (split)")
 def prep_drop_count(spark: SparkSession, d: str) -> DataFrame:
     before = unwrapped(normalised(spark, d)).groupBy("split").agg(F.count(F.lit(1)).alias("n_before"))
-    after = _deduplicated(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("k"))
+    after = _deduplicated(spark, d, "split").groupBy("split").agg(F.count(F.lit(1)).alias("k"))
     n = F.coalesce("k", F.lit(0))
     return before.join(after, "split", "left").select("split", "n_before", n.alias("n_after"), (F.col("n_before") - n).alias("dropped"))
 
@@ -78,7 +79,7 @@ def prep_rows_of_assigned(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {PREPARED} SELECT DISTINCT split, id FROM s2")
 def prep_kept_ids(spark: SparkSession, d: str) -> DataFrame:
-    return _deduplicated(spark, d).select("split", "id").distinct()
+    return _deduplicated(spark, d, "split", "id").distinct()
 
 
 @_query(f"SELECT {SPLIT} AS split, split_type, count(*)::bigint AS n FROM prepare_dataset GROUP BY ALL")

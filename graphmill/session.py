@@ -44,11 +44,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def exact_names(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; extra columns, whatever they are called, never reach an operator."""
-    return df.select(*(df[n] for n in names))
-
-
 _shipped: set[str] = set()
 
 
