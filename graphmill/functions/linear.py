@@ -5,19 +5,18 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Collection
 
+from . import patterns
 from .penman import LITERAL
 
 _TORN = re.compile(r"[()/]|:?[^\s()/:]+|:")
 _ATOM = re.compile(rf'{LITERAL}|[()/]|[^\s()"/]+|\S', re.S)
 POINTER = re.compile(r"<pointer:\d+>")
-_WEB = re.compile(r"(?:(?:http|ftp)s?://)?(?:(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+(?:[a-z]{2,6}\.?|[a-z0-9-]{2,}\.?)|localhost|\d{1,3}(?:\.\d{1,3}){3})(?::\d+)?(?:/?|[/?]\S+)$", re.I)
-_MAIL = re.compile(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", re.I)
-_FILE = re.compile(r".+\.[a-z0-9]+$", re.I)
+_ADDRESSES = [re.compile(p, re.I) for p in (patterns.URL, patterns.EMAIL, patterns.FILENAME)]
 
 
 def is_address(text: str) -> bool:
     """Whether a text begins like a web or mail address or ends like a file name."""
-    return bool(_WEB.match(text) or _MAIL.match(text) or _FILE.match(text))
+    return any(p.match(text) for p in _ADDRESSES)
 
 
 def linearize(text: str, tear_literals: bool = False) -> list[str]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import patterns
+
 #: ASCII punctuation, as a regular expression's character class.
 PUNCT = r"!-/:-@\[-`{-~"
 SPLITS = ("train", "validation", "test")
@@ -55,17 +57,18 @@ def is_number(c: Column) -> Column:
 
 
 def is_url(c: Column) -> Column:
-    """Begins like a web address: scheme optional, a dotted host (or localhost, or four numbers), port and path optional."""
-    host = r"(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+(?:[A-Z]{2,6}\.?|[A-Z0-9-]{2,}\.?)|localhost|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
-    return c.rlike(rf"(?i)^(?:(?:http|ftp)s?://)?{host}(?::\d+)?(?:/?|[/?]\S+)\z")
+    """Is a web address: scheme optional, a dotted host (or localhost, or four numbers), port and path optional."""
+    return c.rlike("(?i)" + patterns.URL)
 
 
 def is_email(c: Column) -> Column:
-    return c.rlike(r"(?i)^[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}")
+    """Begins with a mail address."""
+    return c.rlike("(?i)" + patterns.EMAIL)
 
 
 def is_filename(c: Column) -> Column:
-    return c.rlike(r"(?i)^.+\.[a-z0-9]+\z")
+    """Ends like a file name."""
+    return c.rlike("(?i)" + patterns.FILENAME)
 
 
 def token_class(c: Column) -> Column:

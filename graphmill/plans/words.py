@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions import patterns
 from ..functions import text as X
 from ..session import table
 from .base import SPLIT, words
@@ -30,12 +31,13 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- tokens --------------------------------------------------------------------------------------------------------------
-_URL = r"(?i)^(?:(?:http|ftp)s?://)?(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+(?:[A-Z]{2,6}\.?|[A-Z0-9-]{2,}\.?)|localhost|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?::\d+)?(?:/?|[/?]\S+)$"
+def _sql(pattern: str) -> str:
+    return "'(?i)" + pattern.replace("'", "''") + "'"
 
 
 @_query(rf"""
-SELECT regexp_matches(t, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') AS is_number, regexp_matches(t, '{_URL}') AS is_url,
-  regexp_matches(t, '(?i)^[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{{2,}}') AS is_email, regexp_matches(t, '(?i)^.+\.[a-z0-9]+$') AS is_filename, count(*)::bigint AS n
+SELECT regexp_matches(t, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') AS is_number, regexp_matches(t, {_sql(patterns.URL)}) AS is_url,
+  regexp_matches(t, {_sql(patterns.EMAIL)}) AS is_email, regexp_matches(t, {_sql(patterns.FILENAME)}) AS is_filename, count(*)::bigint AS n
 FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS t FROM documents WHERE text IS NOT NULL) GROUP BY ALL""")
 def token_forms(spark: SparkSession, d: str) -> DataFrame:
     """Numbers, web and mail addresses and file names among the tokens of documents."""

@@ -36,7 +36,7 @@ def test_forms(spark):
     assert column(spark, text.is_number, "1", "-1.5", ".5", "1e3", "inf", "nan", "1_0", "", None) == [True, True, True, True, False, False, False, False, None]
     assert column(spark, text.is_url, "http://a.com/x?y", "a.com", "localhost:80/x", "10.0.0.1", "no", "a b.com") == [True, True, True, True, False, False]
     assert column(spark, text.is_email, "A.b@c.org", "a@b", "x a@b.org") == [True, False, False]
-    assert column(spark, text.is_filename, "a.txt", ".txt", "a", "x y.z") == [True, False, False, True]
+    assert column(spark, text.is_filename, "a.txt", ".txt", "a", "x y.z", "a.") == [True, True, False, True, False]
 
 
 def test_token_class(spark):
