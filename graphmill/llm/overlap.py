@@ -71,8 +71,7 @@ def _grams(freq: np.ndarray):
 
     def run(batches):
         for batch in batches:
-            cids, evals, trains = (batch.column(k) for k in (0, 1, 2))
-            words = batch.column(3)
+            cids, words = batch.column(0), batch.column(1)
             values = words.flatten().to_numpy()
             ends = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
             grams, of = [], []
@@ -96,7 +95,8 @@ def _grams(freq: np.ndarray):
                 grams.append(g)
                 of.append(np.full(len(g), i))
             k = np.concatenate(of) if of else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)), pa.array(cids.to_numpy()[k]), pa.array(masks[k]), pa.array(sizes[k].astype(np.int32)), evals.take(pa.array(k)), trains.take(pa.array(k))], ["gram", "cid", "mask", "n", "has_eval", "has_train"])
+            found = np.concatenate(grams) if grams else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(cids.to_numpy()[k]), pa.array(masks[k]), pa.array(sizes[k].astype(np.int32))], ["gram", "cid", "mask", "n"])
 
     return run
 
@@ -109,11 +109,11 @@ def word_matches(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes: set_key, cid, n; pairs of classes: cid_e, cid_t, n_e, n_t, overlap), the pair of a class with itself included."""
     classes = cut(rows.filter("w is not null").groupBy("set_key").agg(F.min("row_id").alias("cid"), F.max("is_eval").alias("has_eval"), F.max(~F.col("is_eval")).alias("has_train"), F.first("w").alias("w")))
     freq = _frequencies(rows)
-    grams = classes.select("cid", "has_eval", "has_train", "w").mapInArrow(_grams(freq), "gram long, cid long, mask long, n int, has_eval boolean, has_train boolean")
-    e = grams.filter("has_eval").select("gram", F.col("cid").alias("cid_e"), F.col("mask").alias("m_e"), F.col("n").alias("n_e"))
-    t = grams.filter("has_train").select("gram", F.col("cid").alias("cid_t"), F.col("mask").alias("m_t"), F.col("n").alias("n_t"))
+    emit, schema = _grams(freq), "gram long, cid long, mask long, n int"
+    # each side's grams come from its own classes only
+    e, t = (classes.filter(side).select("cid", "w").mapInArrow(emit, schema).select("gram", *(F.col(c).alias(f"{c}_{k}") for c in ("cid", "mask", "n"))) for side, k in (("has_eval", "e"), ("has_train", "t")))
     # the difference of two sets is at least the bits in which their parity sketches differ, and at most what the similarity leaves
-    near = (F.col("cid_e") != F.col("cid_t")) & (DEN * F.least("n_e", "n_t") >= NUM * F.greatest("n_e", "n_t")) & ((DEN + NUM) * F.bit_count(F.col("m_e").bitwiseXOR(F.col("m_t"))) <= (DEN - NUM) * (F.col("n_e") + F.col("n_t")))
+    near = (F.col("cid_e") != F.col("cid_t")) & (DEN * F.least("n_e", "n_t") >= NUM * F.greatest("n_e", "n_t")) & ((DEN + NUM) * F.bit_count(F.col("mask_e").bitwiseXOR(F.col("mask_t"))) <= (DEN - NUM) * (F.col("n_e") + F.col("n_t")))
     found = e.join(t, "gram").filter(near).select("cid_e", "cid_t").distinct()
     w = classes.select("cid", "w")
     exact = found.join(w.select(F.col("cid").alias("cid_e"), F.col("w").alias("w_e")), "cid_e").join(w.select(F.col("cid").alias("cid_t"), F.col("w").alias("w_t")), "cid_t")
