@@ -101,7 +101,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redacted(wide_table(spark, d, "documents"), table(spark, d, "name_lexicon"))
 
 
-_ALL = (p2_found, p2_groups, p2_records, p3_budget, p3_rows, p4_found, p4_containment, p4_report, p5_found, p5_splits, p5_shares, p6_found, p6_unified, p7_found, p7_restored, p8_found, p8_passages, p9_mix, p9_shares, p10_found, p10_redacted)
+_ALL = (p2_found, p2_groups, p2_records, p3_rows, p3_budget, p4_found, p4_containment, p4_report, p5_found, p5_splits, p5_shares, p6_found, p6_unified, p7_found, p7_restored, p8_found, p8_passages, p9_mix, p9_shares, p10_found, p10_redacted)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _NOBODY = ", ".join("'" + x.replace("'", "''") + "'" for x in related.NOBODY)
