@@ -81,8 +81,17 @@ def garble(text: str, page: str) -> str:
     return "".join(c if ord(c) < 128 else "".join(back[b] for b in c.encode("utf-8")) for c in text)
 
 
+def readings(run: str):
+    """What _readings gives, remembered for runs of usual length."""
+    return _remembered(run) if len(run) <= 64 else _readings(run)
+
+
 @lru_cache(maxsize=100_000)
-def readings(run: str) -> tuple[tuple[int, int, tuple[tuple[int, str], ...]], ...]:
+def _remembered(run: str):
+    return _readings(run)
+
+
+def _readings(run: str) -> tuple[tuple[int, int, tuple[tuple[int, str], ...]], ...]:
     """(start, end, ((cipher, plain), ...)) of the suspicious segments of a run of non-ASCII characters.
 
     Segments of different ciphers that overlap are one; each cipher then gives what it makes of the whole segment.

@@ -76,7 +76,7 @@ def placed(rows: DataFrame, quota, seed: int = 1) -> DataFrame:
     mixed = F.xxhash64(F.lit(seed), "doc_id")
     own = rows.filter(F.col("source").isin(*quota) if quota else F.lit(False)).select("doc_id", "source", "tokens", mixed.alias("_h"))
     own = own.withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(most)))
-    return _running(own, "source", "_b", ["_h", "doc_id"], F.col("tokens"), "start").select("doc_id", "source", "tokens", "start")
+    return _running(own, "source", "_b", ["_h", "doc_id", "tokens"], F.col("tokens"), "start").select("doc_id", "source", "tokens", "start")
 
 
 def chosen(rows: DataFrame, quota, seed: int = 1) -> DataFrame:

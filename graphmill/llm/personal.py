@@ -12,6 +12,7 @@ Null and empty texts hold no mention. Repeated texts are searched each for itsel
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 
@@ -215,11 +216,12 @@ def mentions(text: str | None, names: Names) -> list[tuple[int, int, str]]:
         found.append((m.start(), m.end(), kind, 1))
     found += [(a, b, "name", 4) for a, b in name_spans(text, names)]
     found.sort(key=lambda x: (x[3], x[0], -x[1]))
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # in order, without overlap
     for a, b, kind, _ in found:
-        if all(b <= x or a >= y for x, y, _ in taken):
-            taken.append((a, b, kind))
-    return sorted(taken)
+        i = bisect_left(taken, (a,))
+        if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+            taken.insert(i, (a, b, kind))
+    return taken
 
 
 def redact(text: str | None, names: Names) -> str | None:
