@@ -32,9 +32,9 @@ s2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY coale
 
 def normalised(spark: SparkSession, d: str) -> DataFrame:
     """row_id, id, src_lang_idx, split, s (the sentence, blanks collapsed), penmanstr; rows without sentence or known split go."""
-    rows = table(spark, d, "prepare_dataset")
+    rows = table(spark, d, "prepare_dataset").filter("sentence is not null")
     out = rows.select("row_id", "id", "src_lang_idx", X.split_name(F.col("split_type")).alias("split"), X.collapse_blanks(F.col("sentence")).alias("s"), "penmanstr")
-    return out.filter("s is not null and split is not null")
+    return out.filter("split is not null")
 
 
 def unwrapped(rows: DataFrame) -> DataFrame:
