@@ -65,7 +65,7 @@ _NUMBER = re.compile(rf"(?<![\w+/#])(?<!\d[.,-])(?:(?P<id_number>{_ID})|(?P<phon
 _LABELLED = re.compile(r"[A-Z]{0,3}[ ]?\d(?:[A-Z\d]|[ ./-](?=[A-Z]{0,2}\d)){4,17}[A-Z]?(?![\w])")
 _AFTER_CUE = re.compile(r"[^\n.!?;]{0,40}?(?:\bno\.|\bnr\.|n\.º)?[^\n.!?;\d]{0,25}?(?=\b[A-Z]{0,3}[ ]?\d)")
 
-_EN = re.compile(rf"(?<![\w.,/-])\d{{1,5}}[A-Za-z]?[ \t]+(?:[{_UP}][\w'’.-]*[ \t]+){{1,4}}(?:{'|'.join(STREETS_EN)})\b\.?(?:,?[ \t]*(?:(?:Apt|Apartment|Flat|Unit|Suite|Room)\.?[ \t]*\w+|\#[ \t]?\w+))?")
+_EN = re.compile(rf"(?<![\w.,/-])\d{{1,5}}[A-Za-z]?[ \t]+(?:(?:[{_UP}][\w'’-]*|[NSEW]\.)[ \t]+){{1,4}}(?:{'|'.join(STREETS_EN)})\b\.?(?:,?[ \t]*(?:(?:Apt|Apartment|Flat|Unit|Suite|Room)\.?[ \t]*\w+|\#[ \t]?\w+))?")
 _ES = re.compile(rf"(?:{'|'.join(map(re.escape, STREETS_ES))})\.?[ \t]+(?:(?:de|del|la|las|los|el)[ \t]+)*[{_UP}]\w*(?:[ \t]+(?:(?:de|del|la|las|los|el|y)[ \t]+)*[{_UP}]\w*){{0,4}},?[ \t]+(?:n\.?[ \t]?º[ \t]?|núm\.?[ \t]?|nº[ \t]?)?\d{{1,4}}\b(?:,?[ \t]*\d{{1,2}}\.?[ \t]?[ºª][ \t]*[A-Z]?\b)?")
 _NL = re.compile(rf"(?:(?:{QUALIFIERS})[ \t]+)?(?<!\w)[{_UP}]\w*(?:[ -][{_UP}]\w*)?(?:{'|'.join(map(re.escape, STREETS_NL_DE))})[ \t]+\d{{1,4}}(?:[ \t]?bis\b|-[A-Z0-9]+\b|[ \t]?[a-z]\b|[A-Z]\b)?")
 _CAP = re.compile(rf"(?<![\w@.+-])[{_UP}][^\W\d_]+(?:-[{_UP}][^\W\d_]+)*(?![\w@+])")

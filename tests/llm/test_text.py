@@ -222,7 +222,7 @@ def found(text, names=None):
         ("Version 2.2.0.10 was frozen on 2009-04-12.", []), ("range 949-438", []), ("195180195", []), ("791,325 triples", []), ("Ticket 191/10", []), ("section 555-12", []),
         ("is 666-80-9091, x", [("666-80-9091", "id_number")]), ("no. 00097.51.53.", [("00097.51.53", "id_number")]), ("000000-0000", [("000000-0000", "id_number")]), ("NX8790640.", [("NX8790640", "id_number")]), ("QQ 51 45 02 C,", [("QQ 51 45 02 C", "id_number")]), ("Z5ZZ51091", [("Z5ZZ51091", "id_number")]), ("00000513U", [("00000513U", "id_number")]),
         ("passport number is AB 12345678.", [("AB 12345678", "id_number")]),
-        ("at 207 Quarrystone Street, Flat B, tel", [("207 Quarrystone Street, Flat B", "address")]), ("41 Old Fenwater St. #12 last", [("41 Old Fenwater St. #12", "address")]), ("Vive en Avda. de los Tilos Grises, n.º 74.", [("Avda. de los Tilos Grises, n.º 74", "address")]), ("naar Oude Kwartelstraat 43-B.", [("Oude Kwartelstraat 43-B", "address")]), ("lautet Mohnstr. 12a.", [("Mohnstr. 12a", "address")]), ("el camino verde 12", []), ("de weg in 12", []), ("the Road", []),
+        ("at 207 Quarrystone Street, Flat B, tel", [("207 Quarrystone Street, Flat B", "address")]), ("41 Old Fenwater St. #12 last", [("41 Old Fenwater St. #12", "address")]), ("Vive en Avda. de los Tilos Grises, n.º 74.", [("Avda. de los Tilos Grises, n.º 74", "address")]), ("naar Oude Kwartelstraat 43-B.", [("Oude Kwartelstraat 43-B", "address")]), ("lautet Mohnstr. 12a.", [("Mohnstr. 12a", "address")]), ("to 9 Old Fenwater Terrace. Dr. X", [("9 Old Fenwater Terrace.", "address")]), ("el camino verde 12", []), ("de weg in 12", []), ("the Road", []),
         ("", []), (None, []),
     ],
 )
