@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,9 +109,26 @@ def without_wiki(triples: Column) -> Column:
 
 
 def triples_of(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    """key, pos, source, role, target of every triple; rows whose text is no graph have none. Decoded once."""
-    own = df.select(F.col(key), decode_graph(F.col(text_col)).alias("g"))
-    return own.select(key, F.posexplode("g.triples").alias("pos", "t")).select(key, "pos", "t.source", "t.role", "t.target")
+    """key, pos, source, role, target of every triple; rows whose text is no graph have none. Decoded once, written as columns."""
+    own = df.select(df[key].alias("key"), df[text_col].cast("string").alias("text"))
+    schema = T.StructType([T.StructField(key, own.schema["key"].dataType), T.StructField("pos", T.IntegerType()), *TRIPLE.fields])
+
+    def run(batches):
+        for batch in batches:
+            rows, cols = [], ([], [], [], [])
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                try:
+                    triples = penman.decode(text).triples
+                except penman.DecodeError:
+                    continue
+                rows += [row] * len(triples)
+                cols[0].extend(range(len(triples)))
+                for i in (1, 2, 3):
+                    cols[i].extend([t[i - 1] for t in triples])
+            keys = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(cols[0], pa.int32()), *(pa.array(c, pa.string()) for c in cols[1:])], [key, "pos", "source", "role", "target"])
+
+    return own.mapInArrow(run, schema)
 
 
 @F.udtf(returnType=T.StructType([T.StructField("pos", T.IntegerType()), *TRIPLE.fields]))

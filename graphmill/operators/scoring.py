@@ -56,8 +56,12 @@ def poisson(d: Column) -> Column:
 
 
 def replicates(df: DataFrame, n: int = REPLICATES, seed: int = 0) -> DataFrame:
-    """system, b, matched, n_pred, n_gold: the sums of each replicate. Rows are expanded and summed within tasks first."""
-    drawn = df.select("system", "uid", "matched", "n_pred", "n_gold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
+    """system, b, matched, n_pred, n_gold: the sums of each replicate. Rows are expanded and summed within tasks first.
+
+    The rows are few and narrow beside their draws, so they are dealt out over all cores before they are expanded.
+    """
+    narrow = df.select("system", "uid", "matched", "n_pred", "n_gold").repartition(df.sparkSession.sparkContext.defaultParallelism, "uid")
+    drawn = narrow.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
     w = poisson(draw(F.lit(seed), F.col("b"), F.col("system"), F.col("uid")))
     return drawn.withColumn("w", w).filter("w > 0").groupBy("system", "b").agg(*(F.sum(F.col(c) * F.col("w")).cast("long").alias(c) for c in ("matched", "n_pred", "n_gold")))
 
