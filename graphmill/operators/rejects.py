@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,68 @@ def structural_index(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np
     return of[outside], tabs[outside], broken
 
 
+#: Bytes of a file that are indexed at once; a record longer than that widens the window.
+WINDOW = 1 << 20
+
+
+def split_records(data: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the records of a file, without their line breaks (LF or CRLF).
+
+    A record ends at a line break at even parity of quotes. Where a quote stands wrongly its parity means nothing: that
+    record is its first line only, and the index starts anew after it, so one broken record spoils no other. Empty lines
+    are no records.
+    """
+    out: list[tuple[int, int]] = []
+    pos, width, n = 0, WINDOW, len(data)
+    while pos < n:
+        piece = np.frombuffer(data, dtype=np.uint8, count=min(width, n - pos), offset=pos)
+        quotes = np.flatnonzero(piece == QUOTE)
+        breaks = np.flatnonzero(piece == 10)
+        even = np.searchsorted(quotes, breaks) % 2 == 0
+        ends = breaks[even]
+        before = np.where(quotes > 0, piece[np.maximum(quotes - 1, 0)], 10)
+        after = np.where(quotes + 1 < len(piece), piece[np.minimum(quotes + 1, len(piece) - 1)], 10)
+        opening = np.arange(len(quotes)) % 2 == 0
+        good_before, good_after = np.isin(before, (TAB, QUOTE, 10)), np.isin(after, (TAB, QUOTE, 10, 13))
+        wrong = quotes[np.where(opening, ~good_before, ~good_after)]
+        last = pos + len(piece) >= n
+        if last and len(quotes) % 2 and not len(wrong):
+            wrong = quotes[-1:]
+        limit = int(wrong[0]) if len(wrong) else len(piece)
+        at = 0
+        for e in ends[ends < limit].tolist():
+            out.append((pos + at, pos + e))
+            at = e + 1
+        if len(wrong):
+            e = data.find(b"\n", pos + at)
+            e = n if e < 0 else e
+            out.append((pos + at, e))
+            pos, width = e + 1, WINDOW
+        elif last:
+            if pos + at < n:
+                out.append((pos + at, n))
+            pos = n
+        elif at:
+            pos, width = pos + at, WINDOW
+        else:
+            width *= 2
+    return [(a, b - 1 if b > a and data[b - 1] == 13 else b) for a, b in out if data[a:b].strip(b"\r")]
+
+
+def read_records(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """batch_file, rec_no, raw of the records of tab-separated files; a file is one task, files are many."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                spans = split_records(data)[int(header) :]
+                raw = [data[a:b].decode("utf-8", "replace") for a, b in spans]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(raw), pa.string()), pa.array(range(len(raw)), pa.int32()), pa.array(raw, pa.string())], ["batch_file", "rec_no", "raw"])
+
+    return files.mapInArrow(run, "batch_file string, rec_no int, raw string")
+
+
 def _unquote(field: bytes) -> str:
     if field[:1] == b'"':
         field = field[1:-1].replace(b'""', b'"')

@@ -83,3 +83,31 @@ def test_rows_and_empty_tables(spark):
     assert sorted(r["rec_id"] for r in rejects.unusable(df, empty).collect()) == [4, 5, 6, 7]
     assert rejects.loaded(df, empty).count() == 5
     assert rejects.unusable(df.limit(0), empty).count() == 0
+
+
+def test_split_records(monkeypatch):
+    def split(text):
+        data = text.encode()
+        return [data[a:b].decode() for a, b in rejects.split_records(data)]
+
+    assert split("") == [] and split("\n\n") == []
+    assert split("a\tb\nc\r\n\nd") == ["a\tb", "c", "d"]
+    assert split('"a\nb"\tc\n"x ""y"" z"\n') == ['"a\nb"\tc', '"x ""y"" z"']
+    # a broken record is its first line; those after it are whole again
+    assert split('a\n"open\tb\n"c\nd"\te\nf') == ["a", '"open\tb', '"c\nd"\te', "f"]
+    assert split('in"ner\tx\n"a\nb"\tc\n') == ['in"ner\tx', '"a\nb"\tc']
+    assert split('a\n"never closed\nb\nc') == ["a", '"never closed', "b", "c"]
+    rows = [f'{i}\t"{"x" * (i % 7)}\n""q""\té"' for i in range(200)]
+    for width in (1, 16, 64, 1 << 20):
+        monkeypatch.setattr(rejects, "WINDOW", width)
+        assert split("\n".join(rows)) == rows
+        assert split("\n".join([*rows[:50], 'br"oken', *rows[50:]])) == [*rows[:50], 'br"oken', *rows[50:]]
+
+
+def test_read_records(spark, tmp_path):
+    good, bad = CASES[3][0], line(sentence='in"ner')
+    (tmp_path / "a.tsv").write_text("\n".join(["\t".join(rejects.FIELDS), good, bad, good]) + "\n")
+    (tmp_path / "b.tsv").write_text("")
+    rows = rejects.read_records(spark, str(tmp_path)).selectExpr("cast(rec_no as bigint) AS rec_id", "raw")
+    got = {r["rec_id"]: (r["reason"], r["sentence"]) for r in rejects.parse_lines(rows).collect()}
+    assert got == {0: (None, 'a\tb\nc "d" e'), 1: ("quoting", None), 2: (None, 'a\tb\nc "d" e')}
