@@ -27,6 +27,10 @@ from .canon import canonical_graph
 BUCKETS = 1 << 16
 #: Words in an n-gram of the rarity order.
 N = 2
+#: Words of a record up to which pairs are found by n-grams of N words; beyond, by single words.
+LONG = 256
+#: Grams after which a task hands on what it has.
+FLUSH = 500_000
 #: Similarity as a fraction of integers, compared without rounding.
 NUM, DEN = 7, 10
 
@@ -67,36 +71,56 @@ def _frequencies(rows: DataFrame) -> np.ndarray:
 
 
 def _grams(freq: np.ndarray):
+    """Hashed n-grams of the first words in order of rarity of each record, with its id, parity sketch and number of words.
+
+    The grams of a record grow as its words to the power N. So pairs whose larger record has more than LONG words are found
+    by single words (salted, so they meet no other grams): such records give these only, those that may be their smaller
+    partner give both.
+    """
     pairs: dict[int, tuple[np.ndarray, ...]] = {}
+    salt = np.int64(0x5DEECE66D1234567)
+
+    def prefix(x: np.ndarray, n: int) -> np.ndarray:
+        return x[: len(x) - -(-NUM * len(x) // DEN) + n]
 
     def run(batches):
         for batch in batches:
-            cids, words = batch.column(0), batch.column(1)
+            cids, words = batch.column(0).to_numpy(), batch.column(1)
             values = words.flatten().to_numpy()
             ends = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
-            grams, of = [], []
-            masks = np.zeros(len(cids), dtype=np.int64)
-            sizes = np.diff(ends)
+            masks, sizes = np.zeros(len(cids), dtype=np.int64), np.diff(ends).astype(np.int32)
+            grams: list[np.ndarray] = []
+            of: list[np.ndarray] = []
+            held = 0
+
+            def flush():
+                found, k = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (grams, of))
+                return pa.RecordBatch.from_arrays([pa.array(found), pa.array(cids[k]), pa.array(masks[k]), pa.array(sizes[k])], ["gram", "cid", "mask", "n"])
+
             for i in range(len(cids)):
                 x = values[ends[i] : ends[i + 1]]
-                masks[i] = np.bitwise_xor.reduce(np.left_shift(np.int64(1), (x >> 20) & 63))
-                x = x[np.lexsort((x, freq[x & (BUCKETS - 1)]))]
                 m = len(x)
-                p = m - -(-NUM * m // DEN) + N
                 if m < N:
                     continue
-                x = x[:p]
-                if len(x) not in pairs:
-                    pairs[len(x)] = np.triu_indices(len(x), 1)
-                a, b = pairs[len(x)]
+                masks[i] = np.bitwise_xor.reduce(np.left_shift(np.int64(1), (x >> 20) & 63))
+                x = x[np.lexsort((x, freq[x & (BUCKETS - 1)]))]
                 with np.errstate(over="ignore"):
-                    g = x[a] * np.int64(-7046029254386353131) + x[b]
-                    g = (g ^ (g >> 29)) * np.int64(-4658895280553007687)
-                grams.append(g)
-                of.append(np.full(len(g), i))
-            k = np.concatenate(of) if of else np.zeros(0, int)
-            found = np.concatenate(grams) if grams else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(cids.to_numpy()[k]), pa.array(masks[k]), pa.array(sizes[k].astype(np.int32))], ["gram", "cid", "mask", "n"])
+                    if DEN * m >= NUM * LONG:
+                        grams.append((prefix(x, 1) ^ salt) * np.int64(-4658895280553007687))
+                    if m <= LONG:
+                        y = prefix(x, N)
+                        if len(y) not in pairs:
+                            pairs[len(y)] = np.triu_indices(len(y), 1)
+                        j, k = pairs[len(y)]
+                        g = y[j] * np.int64(-7046029254386353131) + y[k]
+                        grams.append((g ^ (g >> 29)) * np.int64(-4658895280553007687))
+                while len(of) < len(grams):
+                    of.append(np.full(len(grams[len(of)]), i))
+                    held += len(of[-1])
+                if held > FLUSH:
+                    yield flush()
+                    grams, of, held = [], [], 0
+            yield flush()
 
     return run
 

@@ -105,3 +105,19 @@ def test_a_class_of_many_copies(spark):
     """A third of all rows are copies of one sentence: each meets each once, nothing is lost."""
     hot = spark.range(600).select(F.col("id").alias("row_id"), F.lit("d.1").alias("id"), F.lit("the same words again and again").alias("sentence"), F.lit(None).cast("string").alias("penmanstr"), F.when(F.col("id") % 3 == 0, "test").otherwise("train").alias("split_type"))
     assert overlap.overlap_pairs(hot).count() == 200 * 400
+
+
+def test_long_records(spark, monkeypatch):
+    """Beyond LONG words single words find the pairs, and pairs across the bound are not lost."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        base = [f"w{(i // 4) * 500 + k}" for k in range(rng.choice([170, 200, 250, 256, 257, 300, 360]))]
+        for k in rng.sample(range(len(base)), rng.randrange(len(base) // 9)):
+            base[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(base), None, rng.choice(["train", "test"]), 0))
+    rows += [(100, " ".join(f"v{k}" for k in range(40_000)), None, "train", 0), (101, " ".join(f"v{k}" for k in range(4_000, 40_000)), None, "test", 0)]
+    monkeypatch.setattr(overlap, "FLUSH", 20_000)
+    got = {tuple(r) for r in overlap.overlap_pairs(table(spark, rows)).collect()}
+    assert (100, 101) in got and len(got) > 8
+    assert got == brute_pairs(rows)
