@@ -1,8 +1,10 @@
 """Personal information inside free text: anchors, expanded and validated by local parsers, replaced by typed placeholders.
 
-An Aho-Corasick automaton finds at-signs and their spellings, cues of identity numbers and words of streets in one pass
-over a text. From an anchor a parser walks to the boundaries of its mention and validates it; digits groups that may be
-numbers of phones or persons are anchors too. Names are found from their own words: those of the lexicon, and words that
+An Aho-Corasick automaton finds at-signs and their spellings, cues of identity numbers and phones and words of streets in
+one pass over a text. From an anchor a parser walks to the boundaries of its mention and validates it; digits groups that
+may be numbers of phones or persons are anchors too. After a cue any 8 to 15 digits with usual signs between are a phone
+(no date, no round number, no amount of money); without a cue the usual groupings are, but no bare row of digits unless it
+begins as a mobile number does. Of two cues before a number the nearer one counts. Names are found from their own words: those of the lexicon, and words that
 the corpus uses as names, learned over all documents (a word is learned as given or family name if at least half of its
 capitalised uses stand beside a known name word of the other kind). What is learned is sent as a bit set of a fixed size.
 
@@ -36,6 +38,10 @@ STREETS_ES = ("Calle", "C/", "Avda", "Avenida", "Av", "Plaza", "Pza", "Camino",
 STREETS_NL_DE = ("straat", "laan", "weg", "gracht", "plein", "kade", "dijk", "singel", "steeg", "pad", "hof", "straße", "strasse", "str.", "gasse", "allee", "platz", "ufer", "ring", "damm", "chaussee", "markt")
 QUALIFIERS = "Oude|Nieuwe|Grote|Kleine|Lange|Korte|Hoge|Lage|Noorder|Zuider|Ooster|Wester|Alte|Neue|Große|Kurze|Hohe|Obere|Untere|Am|Im|An der|Auf der|Zum|Zur"
 ID_CUES = ("social security", "Social Security", "SSN", "identity no", "identity number", "identity card", "Identity no", "national number", "National number", "national id", "national insurance", "National Insurance", "passport", "Passport", "ID number", "ID card", "id number", "tax number", "tax id", "documento de identidad", "Documento de identidad", "DNI", "NIE", "pasaporte", "Pasaporte", "seguridad social", "burgerservicenummer", "Burgerservicenummer", "BSN", "paspoort", "identiteits", "Ausweis", "ausweis", "Reisepass", "Sozialversicherung", "Steuer-ID", "Steueridentifikation", "Personalnummer")
+#: Cues of phones in English, Spanish, Dutch and German. Stems may stand inside a longer word, the others are whole words; after a weak one the number must look like a phone's.
+PHONE_STEMS = ("phone", "telefon", "telefoon", "teléfon", "rufnummer", "faxnumm", "durchwahl", "festnetz", "whatsapp", "handynummer", "mobielnummer", "mobilnummer")
+PHONE_WORDS = ("tel", "telf", "tlf", "tfno", "tfn", "téléphone", "fax", "gsm", "handy", "móvil", "movil", "mobiel", "mobil", "fijo", "landline", "hotline", "helpline")
+PHONE_WEAK = ("mobile", "mob", "cell", "call", "ring", "text", "sms", "dial", "bel", "bellen", "belt", "llame", "llamar", "llama", "llámame", "marque", "anrufen", "anruf", "ruf", "rufen", "erreichbar", "bereikbaar")
 # ------------------------------------------------------------------------------------------------------------------------
 
 _UP = "A-ZÀ-ÖØ-Þ"
@@ -65,6 +71,24 @@ _NUMBER = re.compile(rf"(?<![\w+/#])(?<!\d[.,-])(?:(?P<id_number>{_ID})|(?P<phon
 _LABELLED = re.compile(r"[A-Z]{0,3}[ ]?\d(?:[A-Z\d]|[ ./-](?=[A-Z]{0,2}\d)){4,17}[A-Z]?(?![\w])")
 _AFTER_CUE = re.compile(r"[^\n.!?;]{0,40}?(?:\bno\.|\bnr\.|n\.º)?[^\n.!?;\d]{0,25}?(?=\b[A-Z]{0,3}[ ]?\d)")
 
+_SIGNS = "[ \u00a0]?[-‐‑–/][ \u00a0]?|[ \u00a0.]|[ \u00a0]?\\(|\\)[ \u00a0]?[-/]?[ \u00a0]?"
+_DIALLED = re.compile(rf"\+?\(?\+?\d(?:(?:{_SIGNS})?\d){{7,}}(?!\w|[:.,-]\d)")
+_TO_DIALLED = re.compile(r"\.?(?:[^\n.!?;\d+]|\b(?:no|nr|núm|num|n)\.){0,40}?:?[ \t\u00a0]*\n?[ \t\u00a0]*(?<![\w,.])(?=\(\+?\d{1,5}\)|\+?\(?\+?\d)")
+_WIDE = re.compile(r"[ \u00a0][-‐‑–/][ \u00a0]|/")
+#: Groupings of national numbers: trunk 0 and groups, mobile numbers in one piece, Spain, North America.
+_NATIONAL = re.compile(
+    r"""(?<![\w+/\#€$£])(?<!\d[.,:-])(?<!\d[ \u00a0])(?<![€$£][ \u00a0])(?:
+      (?:\(0[1-9]\d{0,4}\)[ \u00a0]?|0[1-9]\d{0,4}(?:[ \u00a0]?[-/‐–][ \u00a0]?|[ \u00a0.]))\d{2,8}(?:[ \u00a0.-]\d{2,4}){0,4}
+    | 06\d{8} | 07\d{9} | 01[5-7]\d{8,9}
+    | [6-9]\d{2}([ \u00a0-])\d{3}\1\d{3} | [6-9]\d{2}(?:[ \u00a0-]\d{2}){3} | [89]\d[ \u00a0]\d{3}[ \u00a0]\d{2}[ \u00a0]\d{2}
+    | (?:1[ -])?[2-9]\d{2}[ \u00a0-]\d{3}[ \u00a0-]\d{4}
+    )(?![\w/])(?![-.,:]\d)(?![ \u00a0]\d)""",
+    re.X,
+)
+_DATE = re.compile(r"(?:\d{1,2}([./ -])\d{1,2}\1(?:1[5-9]|20)\d\d|(?:1[5-9]|20)\d\d([./ -])\d{1,2}\2\d{1,2})(?!\d)")
+_ROUND = re.compile(r"\d{1,3}(?:[ \u00a0.]\d{3})*[ \u00a0.]000")
+_MONEY = re.compile(r"[ \u00a0]?(?:[€$£%]|(?:EUR|USD|GBP|euros?|dollars?|pounds|percent|Prozent|procent|por ciento)\b)")
+
 _EN = re.compile(rf"(?<![\w.,/-])\d{{1,5}}[A-Za-z]?[ \t]+(?:(?:[{_UP}][\w'’-]*|[NSEW]\.)[ \t]+){{1,4}}(?:{'|'.join(STREETS_EN)})\b\.?(?:,?[ \t]*(?:(?:Apt|Apartment|Flat|Unit|Suite|Room)\.?[ \t]*\w+|\#[ \t]?\w+))?")
 _ES = re.compile(rf"(?:{'|'.join(map(re.escape, STREETS_ES))})\.?[ \t]+(?:(?:de|del|la|las|los|el)[ \t]+)*[{_UP}]\w*(?:[ \t]+(?:(?:de|del|la|las|los|el|y)[ \t]+)*[{_UP}]\w*){{0,4}},?[ \t]+(?:n\.?[ \t]?º[ \t]?|núm\.?[ \t]?|nº[ \t]?)?\d{{1,4}}\b(?:,?[ \t]*\d{{1,2}}\.?[ \t]?[ºª][ \t]*[A-Z]?\b)?")
 _NL = re.compile(rf"(?:(?:{QUALIFIERS})[ \t]+)?(?<!\w)[{_UP}]\w*(?:[ -][{_UP}]\w*)?(?:{'|'.join(map(re.escape, STREETS_NL_DE))})[ \t]+\d{{1,4}}(?:[ \t]?bis\b|-[A-Z0-9]+\b|[ \t]?[a-z]\b|[A-Z]\b)?")
@@ -82,6 +106,10 @@ def _automaton():
         for w in words:
             for form in ([" " + w] if kind == "en" else [w + " ", w + ". "] if kind == "es" else [w + " "] if kind == "nl" else [w]):
                 a.add_word(form, (kind, len(form)))
+    for words, kind in ((PHONE_STEMS, "stem"), (PHONE_WORDS, "word"), (PHONE_WEAK, "weak")):
+        for w in words:
+            for form in (w, w.capitalize(), w.upper()):
+                a.add_word(form, (kind, len(form)))
     a.make_automaton()
     return a
 
@@ -123,6 +151,35 @@ def _labelled(text: str, at: int) -> tuple[int, int] | None:
     return None
 
 
+def _shaped(text: str, a: int, b: int) -> bool:
+    """Whether digits at text[a:b] may be a phone's by their number, and are no date, round number or amount."""
+    number = text[a:b]
+    return 8 <= sum(c.isdigit() for c in number) <= 15 and not _DATE.match(number) and not _ROUND.fullmatch(number) and not _MONEY.match(text, b) and text[:a].rstrip(" \u00a0")[-1:] not in ("€", "$", "£")
+
+
+def _dialled(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
+    """The phone after a cue at text[a:b]; of several numbers parted by a stroke the first."""
+    if kind != "stem":
+        if a and text[a - 1].isalnum() or b < len(text) and text[b].isalpha():
+            return None
+    else:
+        while b < len(text) and text[b].isalpha():
+            b += 1
+    gap = _TO_DIALLED.match(text, b, min(len(text), b + 60))
+    m = gap and _DIALLED.match(text, gap.end(), min(len(text), gap.end() + 60))
+    if not m:
+        return None
+    start, end = m.span()
+    if sum(c.isdigit() for c in m[0]) > 15:
+        ends = [w.start() + start for w in _WIDE.finditer(m[0])]
+        end = max((e for e in ends if _shaped(text, start, e)), default=end)
+    if not _shaped(text, start, end) or _NUMBER.fullmatch(text, start, end):
+        return None
+    if kind == "weak" and text[start] not in "0(+" and sum(c.isdigit() for c in text[start:end]) < 9:
+        return None
+    return start, end
+
+
 class Names:
     """Kinds of name words: lexicon, and a bit set of learned words."""
 
@@ -192,7 +249,7 @@ def mentions(text: str | None, names: Names) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the mentions, in order, without overlap; emails come before numbers, addresses and names."""
     if not text:
         return []
-    found: list[tuple[int, int, str, int]] = []
+    found: list[tuple[int, int, str, float]] = []
     for last, (kind, length) in _automaton().iter(text):
         a, b = last - length + 1, last + 1
         if kind == "at":
@@ -202,19 +259,26 @@ def mentions(text: str | None, names: Names) -> list[tuple[int, int, str]]:
         elif kind == "cue":
             e = _labelled(text, b)
             if e:
-                found.append((*e, "id_number", 2))
+                found.append((*e, "id_number", 2 + (e[0] - b) / 1000))  # the nearest cue first
+        elif kind in ("stem", "word", "weak"):
+            e = _dialled(text, a, b, kind)
+            if e:
+                found.append((*e, "phone", 2 + (e[0] - b) / 1000))
         else:
             low = max(0, text.rfind("\n", 0, a) + 1, a - 80)
             pattern = {"en": _EN, "es": _ES, "nl": _NL}[kind]
             for m in pattern.finditer(text, low if kind != "es" else a, min(len(text), b + 80)):
                 if m.start() <= a + 1 and m.end() >= b - 2:
-                    found.append((m.start(), m.end(), "address", 3))
+                    found.append((m.start(), m.end(), "address", 4))
     for m in _NUMBER.finditer(text):
         kind = m.lastgroup
         if kind == "phone" and not 8 <= sum(c.isdigit() for c in m[0]) <= 15:
             continue
         found.append((m.start(), m.end(), kind, 1))
-    found += [(a, b, "name", 4) for a, b in name_spans(text, names)]
+    for m in _NATIONAL.finditer(text):
+        if 9 <= sum(c.isdigit() for c in m[0]) <= 13 and _shaped(text, *m.span()):
+            found.append((*m.span(), "phone", 3))
+    found += [(a, b, "name", 5) for a, b in name_spans(text, names)]
     found.sort(key=lambda x: (x[3], x[0], -x[1]))
     taken: list[tuple[int, int, str]] = []  # in order, without overlap
     for a, b, kind, _ in found:

@@ -232,6 +232,23 @@ def test_mentions(text, want):
     assert [] == want if text is None else found(text) == want
 
 
+@pytest.mark.parametrize("number", ["020 7946 0958", "612 345 678", "91 123 45 67", "06 12 34 56 78", "030 1234567", "0151 23456789", "0612345678", "600123456", "5305550107", "555 123 4567", "030 / 123 45 67", "12345678", "(020) 7946 0958"])
+def test_phones_after_cues(number):
+    for text in ("Tel. {}.", "my phone number is {}, thanks", "Telefonnummer: {}", "teléfono {} x", "telefoon {}!", "bereikbaar op 0{}" if number[0] in "69" and len(number) == 9 else "Fax:\n{}"):
+        want = "0" + number if "0{}" in text else number
+        assert found(text.format(number)) == [(want, "phone")]
+    assert personal.redact(f"Tel. {number}.", personal.Names(LEXICON)) == "Tel. [PHONE]."
+
+
+def test_phones_without_cues_and_what_is_none():
+    for number in ("020 7946 0958", "612 345 678", "91 123 45 67", "06 12 34 56 78", "030 1234567", "0151 23456789", "0612345678", "555 123 4567"):
+        assert found(f"at {number}, x") == [(number, "phone")]
+    for text in ("call on 12.05.2019", "met 01.02.2019 10:30", "hotel 12345678", "€ 612 345 678", "call 12 000 000 people", "of 612 345 678 900", "600123456", "5305550107", "phone 1234567"):
+        assert found(text) == []
+    assert found("phone 020 7946 0958 / 0161 496 0000 x") == [("020 7946 0958", "phone"), ("0161 496 0000", "phone")]
+    assert [k for _, k in found("phone or passport: 612345678")] == ["id_number"] and [k for _, k in found("passport by phone: 612345678")] == ["phone"]
+
+
 def test_redact():
     names = personal.Names(LEXICON)
     assert personal.redact("é Tovela Marnick: a@b.test, +1 693 555 0182", names) == "é [NAME]: [EMAIL], [PHONE]"
