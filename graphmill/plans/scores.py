@@ -10,7 +10,7 @@ from ..operators import scoring as S
 from ..session import table, wide_table
 
 QUERIES, SQL = {}, {}
-N = 200
+N = S.REPLICATES
 
 
 def _query(sql: str | None = None):

@@ -60,3 +60,15 @@ def test_query(spark, duck, name):
         want = duck.execute(sql).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert values(got) == values(want)
+
+
+def test_bootstrap_has_the_usual_replicates(spark):
+    """The registered queries draw as many replicates as the reference, 1000."""
+    from graphmill.operators import scoring
+    from graphmill.session import table
+
+    pairs = scoring.one_per_pair(table(spark, SMALL, "pair_counts"))
+    assert values(entry.queries()["bootstrap_ci"](spark, SMALL).toPandas()) == values(scoring.intervals(pairs, 1000).toPandas())
+    bars = {r["label"]: r["below"] for r in entry.queries()["ci_error_bars"](spark, SMALL).collect()}
+    assert bars == {"system " + r["system"]: round(r["result"] - r["ci_low"], 6) for r in scoring.intervals(pairs, 1000).filter("metric = 'fscore'").collect()}
+    assert values(entry.queries()["significance_table"](spark, SMALL).toPandas()) == values(scoring.significance(pairs, 1000).toPandas())
