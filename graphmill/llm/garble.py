@@ -13,6 +13,10 @@ A segment is garbled if ciphers weigh more than the segment itself. It is restor
 cipher's byte table, which reproduces the segment exactly when applied the other way round. U+FFFD is what a decoder
 writes for a lost byte: the field is garbled at once; it is restored where one letter of the language stands out.
 
+A byte written in one page and read through another makes one letter another letter. Such swaps of two pages are learned
+per source by the same EM, from every non-ASCII run that is no UTF-8, and weighed for a field as a whole, since a decoder
+goes wrong for all of its letters; a source has a swap only if it explains SWAPPED of its runs and LEAST of them.
+
 Null and empty fields are not garbled; a null language or unknown source is a language or source of its own.
 """
 
@@ -48,6 +52,10 @@ _RUN = re.compile("[^\x00-\x7f]+")
 _UTF8 = re.compile("(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3})+")
 CIPHERS = tuple((p, k) for k in DEPTHS for p in PAGES)
 CLEAN = len(CIPHERS)
+#: (written in, read through): one letter for one letter. Share and number of a source's runs that a swap must explain.
+SWAPS = tuple((a, b) for a in PAGES for b in PAGES if a != b)
+SWAPPED, LEAST = 0.05, 10.0
+ANY = r"[^\x00-\x7f]"
 
 
 class ByteTable(dict):
@@ -75,6 +83,37 @@ def segments(run: str, page: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), m[0].encode("latin-1").decode("utf-8")) for m in _UTF8.finditer(run.translate(byte_table(page)))]
 
 
+@lru_cache(maxsize=None)
+def swap_table(written: str, page: str) -> dict[int, str]:
+    """Character of a page to the character that its byte is in the page it was written in."""
+    table = {}
+    for b in range(128, 256):
+        try:
+            table[ord(bytes([b]).decode(page))] = bytes([b]).decode(written)
+        except UnicodeDecodeError:
+            pass
+    return table
+
+
+@lru_cache(maxsize=100_000)
+def swapped(run: str) -> tuple[tuple[int, str], ...]:
+    """((swap, plain), ...) of a run: only swaps in whose pages all of it is, and that change it into something printable."""
+    out = []
+    for i, (written, page) in enumerate(SWAPS):
+        table = swap_table(written, page)
+        if all(ord(c) in table for c in run):
+            z = run.translate(table)
+            if z != run and (z.isprintable() or "\u00a0" in z):
+                out.append((i, z))
+    return tuple(out)
+
+
+def swap_readings(run: str):
+    """As readings(), for swaps: the run as a whole."""
+    plains = swapped(run)
+    return ((0, len(run), plains),) if plains else ()
+
+
 def garble(text: str, page: str) -> str:
     """The cipher itself: UTF-8 read through a page, undefined bytes standing for themselves."""
     back = {ord(b): chr(c) for c, b in byte_table(page).items()}
@@ -139,6 +178,7 @@ class Model:
     one: np.ndarray
     theta: dict[str, np.ndarray] = field(default_factory=dict)
     letters: dict[int, str] = field(default_factory=dict)
+    swaps: dict[str, dict[int, float]] = field(default_factory=dict)
 
     def chain(self, text: str, lang: int, own: int = 0) -> float:
         """Log-probability of a text's transitions; ``own`` of each transition's count are the text's own and don't speak for it."""
@@ -166,29 +206,40 @@ class Model:
         return w / w.sum()
 
 
-def em(model: Model, contexts: list[tuple[int, str, str, str, int]], rounds: int = ROUNDS) -> np.ndarray:
-    """theta of one source from its aggregated contexts (language, left, segment, right, count).
+def em(model: Model, contexts: list[tuple[int, str, str, str, int]], rounds: int = ROUNDS, read=readings, clean: int = CLEAN) -> np.ndarray:
+    """theta of one source from its aggregated contexts (language, left, segment, right, count); ``clean`` is the number of ciphers that ``read`` knows.
 
     What the ciphers give is weighed once; a round only weighs the segments themselves anew, as the counts they owe to
     garbled text are taken out of the model, and sums up.
     """
     pairs: dict[tuple[int, str, str], int] = {}
     logs, counts, steps = [], [], []
+    memo: dict[tuple[int, str, str], float] = {}
+
+    def chain(text: str, lang: int) -> float:
+        total = 0.0
+        for x, y in zip(text, text[1:]):
+            step = memo.get((lang, x, y))
+            if step is None:
+                step = memo[lang, x, y] = model.chain(x + y, lang)
+            total += step
+        return total
+
     for lang, left, seg, right, n in contexts:
-        for a, b, plains in readings(seg):
+        for a, b, plains in read(seg):
             x, y = left if a == 0 else seg[a - 1], right if b == len(seg) else seg[b]
-            row = np.full(CLEAN + 1, -np.inf)
+            row = np.full(clean + 1, -np.inf)
             seen: dict[str, float] = {}
             for i, z in plains:
                 if z not in seen:
-                    seen[z] = model.chain(x + z + y, lang)
+                    seen[z] = chain(x + z + y, lang)
                 row[i] = seen[z]
             whole = x + seg[a:b] + y
             steps.append([pairs.setdefault((lang, c, d), len(pairs)) for c, d in zip(whole, whole[1:])])
             logs.append(row)
             counts.append(n)
-    theta = np.full(CLEAN + 1, 0.5 / CLEAN)
-    theta[CLEAN] = 0.5
+    theta = np.full(clean + 1, 0.5 / clean)
+    theta[clean] = 0.5
     if not logs:
         return theta
     matrix, count = np.array(logs), np.array(counts, dtype=float)
@@ -200,13 +251,13 @@ def em(model: Model, contexts: list[tuple[int, str, str, str, int]], rounds: int
     gone = np.zeros(len(pairs))
     for _ in range(rounds):
         p = sum(w * (np.maximum(two - gone, 0.0) + KAPPA * uni) / (one + KAPPA) for w, two, uni, one in stats)
-        matrix[:, CLEAN] = np.bincount(step_row, np.log(p + NEVER)[step_pair], minlength=len(steps))
+        matrix[:, clean] = np.bincount(step_row, np.log(p + NEVER)[step_pair], minlength=len(steps))
         logit = matrix + np.log(theta + 1e-12)
         w = np.exp(logit - logit.max(axis=1, keepdims=True))
         w /= w.sum(axis=1, keepdims=True)
         mass = count @ w + 1e-3
         new = mass / mass.sum()
-        gone = np.bincount(step_pair, (count * (1 - w[:, CLEAN]))[step_row], minlength=len(pairs))
+        gone = np.bincount(step_pair, (count * (1 - w[:, clean]))[step_row], minlength=len(pairs))
         if np.abs(new - theta).max() < 1e-4:
             return new
         theta = new
@@ -234,10 +285,23 @@ def _contexts(text: str):
                 yield text[k - 1] if k else " ", text[k:end], text[end] if end < len(text) else " "
 
 
+def _single_contexts(text: str):
+    """(character before, piece, character after) of the runs that are no UTF-8 and may be swapped."""
+    for m in _RUN.finditer(text):
+        run, base = m[0], m.start()
+        if LOST in run or len(run) > 1 and readings(run):
+            continue
+        for k in range(base, m.end(), PIECE):
+            end = min(k + PIECE, m.end())
+            if swap_readings(text[k:end]):
+                yield text[k - 1] if k else " ", text[k:end], text[end] if end < len(text) else " "
+
+
 def _count(batches):
-    """Of one task: counter cells (kind 1 and 2, key the cell), letters by language (kind 3) and contexts of suspicious runs (kind 0)."""
+    """Of one task: counter cells (kind 1 and 2, key the cell), letters by language (kind 3), contexts of suspicious runs (kind 0) and of runs that may be swapped (kind 4)."""
     two, one = np.zeros(BIGRAMS, np.int64), np.zeros(UNIGRAMS, np.int64)
     found: dict[tuple, int] = {}
+    single: dict[tuple, int] = {}
     letters: dict[tuple[int, int], int] = {}
     for batch in batches:
         pdf = batch.to_pandas()
@@ -263,7 +327,11 @@ def _count(batches):
                     for left, run, right in _contexts(text):
                         k = (source, l, left, run, right)
                         found[k] = found.get(k, 0) + 1
-    rows = [(0, 0, l, s, a, r, b, n) for (s, l, a, r, b), n in found.items()]
+                if not text.isascii():
+                    for left, run, right in _single_contexts(text):
+                        k = (source, l, left, run, right)
+                        single[k] = single.get(k, 0) + 1
+    rows = [(kind, 0, l, s, a, r, b, n) for kind, of in ((0, found), (4, single)) for (s, l, a, r, b), n in of.items()]
     rows += [(3, c, l, None, None, None, None, n) for (l, c), n in letters.items()]
     for kind, cells in ((1, one), (2, two)):
         at = np.flatnonzero(cells)
@@ -305,6 +373,18 @@ def learn(df: DataFrame, sources: DataFrame, fields: tuple[str, str] = ("sentenc
 
     learned = stats.filter("kind = 0").select("source", "lang", "left", "run", "right", "n").groupBy("source").applyInPandas(of_source, "source string, theta array<double>")
     model.theta = {s: np.array(t) for s, t in learned.collect()}
+
+    def swaps_of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(zip(pdf["lang"].tolist(), pdf["left"], pdf["run"], pdf["right"], pdf["n"].tolist()))
+        theta = em(sent.value, rows, read=swap_readings, clean=len(SWAPS))
+        return pd.DataFrame({"source": [key[0]], "theta": [theta.tolist()], "n": [float(pdf["n"].sum())]})
+
+    # two pages may differ in few letters, so the swaps of a source share what they explain: their sum must be enough
+    single = stats.filter("kind = 4").select("source", "lang", "left", "run", "right", "n").groupBy("source").applyInPandas(swaps_of, "source string, theta array<double>, n double")
+    for s, t, n in single.collect():
+        share = 1 - t[-1]
+        if share >= SWAPPED and share * n >= LEAST:
+            model.swaps[s] = {i: x for i, x in enumerate(t) if x >= SWAPPED / len(SWAPS) or i == len(SWAPS)}
     return model
 
 
@@ -327,9 +407,34 @@ def _lost(text: str, at: int, end: int, lang: int, model: Model) -> str | None:
     return scored[0][1] if rest < 0.25 else None
 
 
+def _unswapped(text: str, lang: int, source: str, model: Model) -> str | None:
+    """The text as it was before its source's likeliest swap, None if it is likelier right as it is."""
+    theta = model.swaps.get(source)
+    if not theta or text.isascii() or LOST in text:
+        return None
+    runs = [(text[m.start() - 1] if m.start() else " ", m[0], text[m.end()] if m.end() < len(text) else " ") for m in _RUN.finditer(text)]
+    own = math.log(theta[len(SWAPS)] + 1e-12) + sum(model.chain(a + r + b, lang, 1) for a, r, b in runs)
+    weights: dict[str, list[float]] = {}
+    for i, t in theta.items():
+        if i < len(SWAPS):
+            table = swap_table(*SWAPS[i])
+            if all(ord(c) in table for _, r, _ in runs for c in r):
+                z = [r.translate(table) for _, r, _ in runs]
+                if any(x != r for x, (_, r, _) in zip(z, runs)):
+                    w = math.log(t + 1e-12) + sum(model.chain(a + x + b, lang) + UNSEEN * sum(not model.one[_cell1(ord(c), 0)] for c in x) for x, (a, _, b) in zip(z, runs))
+                    weights.setdefault(_RUN.sub(lambda m: m[0].translate(table), text), []).append(w)
+    if not weights:
+        return None
+    most = max(max(w) for w in weights.values())
+    by = {z: sum(math.exp(x - most) for x in w) for z, w in weights.items()}
+    if math.log(sum(by.values())) + most <= own:
+        return None
+    return max(by, key=lambda z: (by[z], z))
+
+
 def restore(text: str | None, lang: int, source: str, model: Model) -> tuple[bool, bool, str | None]:
     """(garbled, wholly restored, text as far as restored)."""
-    if not text or not _SUSPECT.search(text):
+    if not text or not _SUSPECT.search(text) and (text.isascii() or source not in model.swaps):
         return False, False, text
     theta = model.theta.get(source)
     if theta is None:
@@ -351,6 +456,10 @@ def restore(text: str | None, lang: int, source: str, model: Model) -> tuple[boo
                 edits.append((base + a, base + b, max(by, key=lambda z: (by[z], z))))
     for a, b, z in reversed(edits):
         text = text[:a] + z + text[b:]
+    if not garbled:
+        plain = _unswapped(text, lang, source, model)
+        if plain is not None:
+            return True, True, plain
     if LOST in text:
         garbled = True
         out, at = [], 0
@@ -387,5 +496,6 @@ def garbled_fields(df: DataFrame, sources: DataFrame, fields: tuple[str, str] =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()))], ["row_id", "field", "text", "restored", "whole"])
 
     own = _fields(df, sources, fields)
-    own = own.filter(F.coalesce(F.col("a").rlike(SUSPECT), F.lit(False)) | F.coalesce(F.col("b").rlike(SUSPECT), F.lit(False)))
+    pattern = ANY + r"|\x{FFFD}" if model.swaps else SUSPECT
+    own = own.filter(F.coalesce(F.col("a").rlike(pattern), F.lit(False)) | F.coalesce(F.col("b").rlike(pattern), F.lit(False)))
     return own.mapInArrow(run, "row_id long, field string, text string, restored string, whole boolean")

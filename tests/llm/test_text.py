@@ -120,6 +120,26 @@ def test_ciphers_invert(page):
     assert any(z == text[2:3] for m in garble._RUN.finditer(bad) for _, _, plains in garble.readings(m[0]) for i, z in plains if garble.CIPHERS[i] == (page, 1))
 
 
+def test_swapped_pages_are_found_and_restored(spark):
+    """A source read through another single-byte page: one letter for one other, alone among ASCII letters."""
+    rng = random.Random(8)
+    words = ["el niño", "la canción", "mañana", "también", "el corazón", "está aquí", "el jardín", "una razón", "el café", "según él", "la acción", "un año", "dieciséis", "la región", "más allá"]
+    rows, truth = [], {}
+    for i in range(1200):
+        text = f"{rng.choice(words)} y {rng.choice(words)} en {rng.choice(words)}"
+        page = {0: "mac_roman", 1: "cp1251"}.get(i % 6) if i % 2 == 0 or i % 6 == 1 else None
+        name = {"mac_roman": "mac", "cp1251": "cyr"}.get(page, "nws")
+        bad = text.encode("cp1252").decode(page) if page else text
+        if page:
+            truth[i] = text
+        rows.append((i, f"{name}.{i}", 1, bad, None, "x", "x"))
+    df = spark.createDataFrame(rows, "row_id long, id string, src_lang_idx int, sentence string, snt string, lang string, text string").repartition(4)
+    sources = spark.createDataFrame([(n, n, "press", 1.0, 1) for n in ("mac", "cyr", "nws")], SOURCES)
+    got = {r["row_id"]: r["restored"] for r in garble.garbled_fields(df, sources).collect()}
+    assert set(got) == set(truth)
+    assert sum(got[i] == truth[i] for i in truth) >= 0.98 * len(truth)
+
+
 # --- leaks
 def test_leaks_exact(spark):
     rng = random.Random(5)
