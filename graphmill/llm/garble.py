@@ -1,21 +1,20 @@
 """Garbled text from wrong character encodings: found and, where possible, restored.
 
-Each source is taken as written through an unknown cipher: the bytes of a letter were read through some code page, so one
-letter became several others. The key space is the byte tables of code pages, once or twice over. What is learned, all
-over the corpus:
-
-* a language model of character bigrams (hashed counters of a fixed size, so it stays as small at any size of corpus);
-* per source, by expectation-maximization, how often its text went through each cipher (``theta``). The E-step weighs for
-  each suspicious segment in its context every letter sequence that some cipher gives against the segment being right as it
-  is, by the language model; the M-step re-estimates theta and takes the garbled share out of the model's counts.
-
-A segment is garbled if ciphers weigh more than the segment itself. It is restored with translate() through the winning
-cipher's byte table, which reproduces the segment exactly when applied the other way round. U+FFFD is what a decoder
-writes for a lost byte: the field is garbled at once; it is restored where one letter of the language stands out.
-
-A byte written in one page and read through another makes one letter another letter. Such swaps of two pages are learned
-per source by the same EM, from every non-ASCII run that is no UTF-8, and weighed for a field as a whole, since a decoder
-goes wrong for all of its letters; a source has a swap only if it explains SWAPPED of its runs and LEAST of them.
+Each source is taken as written through an unknown cipher, learned by expectation-maximization against the character
+bigrams of the languages, over all rows and in the tasks (``decipher``). There are two kinds:
+
+* UTF-8 read through a code page, once or twice: one letter became several characters. The key space is the byte tables
+  of code pages; what is learned per source is how often its text went through each (``theta``). The E-step weighs for each
+  suspicious segment every letter sequence that some table gives against the segment being right as it is.
+* A byte written in one page and read through another: one letter became one other letter, a substitution. What is
+  learned per source is the mapping itself, character to letter, without any page being known (known pages only weigh a
+  little where counts are few), and the share of its runs that went through it.
+
+A segment is garbled if ciphers weigh more than the segment itself. It is restored with translate(): through the winning
+page's byte table, which reproduces the segment when applied the other way round, or through the learned mapping. A
+substitution is weighed for a field as a whole, since a decoder goes wrong for all of its letters; a source has one only if
+it explains SWAPPED of its runs and LEAST of them. U+FFFD is what a decoder writes for a lost byte: the field is garbled
+at once; it is restored where one letter of the language stands out.
 
 Null and empty fields are not garbled; a null language or unknown source is a language or source of its own.
 """
@@ -24,321 +23,24 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+import unicodedata
 from functools import lru_cache
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import decipher
+from .decipher import CLEAN, Model, first_theta, lang_code
 from .origin import source_of
+from .pages import LOST, garble, readings
 
-#: Code pages in whose byte tables a decoder may have gone wrong (names of Python's codecs).
-PAGES = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "mac_roman", "cp437", "cp850", "iso8859-2", "iso8859-15", "koi8-r")
-DEPTHS = (1, 2)
-LOST = "�"
-#: Cells of the hashed bigram and unigram counters; fixed, whatever the corpus.
-BIGRAMS, UNIGRAMS = 1 << 18, 1 << 14
-#: Weight of the unigram estimate in a bigram estimate, and of a character never seen.
-KAPPA, NEVER = 5.0, 1e-9
-#: What a reading loses for each of its characters that the corpus nowhere has, as a log.
-UNSEEN = -4.0
-ROUNDS = 15
 SUSPECT = r"[^\x00-\x7f]{2}|\x{FFFD}"
-_SUSPECT = re.compile("[^\x00-\x7f]{2}|�")
-_RUN = re.compile("[^\x00-\x7f]+")
-_UTF8 = re.compile("(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3})+")
-CIPHERS = tuple((p, k) for k in DEPTHS for p in PAGES)
-CLEAN = len(CIPHERS)
-#: (written in, read through): one letter for one letter. Share and number of a source's runs that a swap must explain.
-SWAPS = tuple((a, b) for a in PAGES for b in PAGES if a != b)
-SWAPPED, LEAST = 0.05, 10.0
 ANY = r"[^\x00-\x7f]"
-
-
-class ByteTable(dict):
-    """Character to byte (as a character below 256) of a code page, for str.translate(); other characters become no byte."""
-
-    def __missing__(self, key: int) -> str:
-        return "\uffff"
-
-
-@lru_cache(maxsize=None)
-def byte_table(page: str) -> ByteTable:
-    """The table of a page; bytes the page leaves undefined stand for themselves, as in browsers."""
-    table = ByteTable()
-    for b in range(128, 256):
-        try:
-            c = bytes([b]).decode(page)
-        except UnicodeDecodeError:
-            c = chr(b)
-        table.setdefault(ord(c), chr(b))
-    return table
-
-
-def segments(run: str, page: str) -> list[tuple[int, int, str]]:
-    """(start, end, plain) of the stretches of a run that are the UTF-8 bytes of something, read through this page."""
-    return [(m.start(), m.end(), m[0].encode("latin-1").decode("utf-8")) for m in _UTF8.finditer(run.translate(byte_table(page)))]
-
-
-@lru_cache(maxsize=None)
-def swap_table(written: str, page: str) -> dict[int, str]:
-    """Character of a page to the character that its byte is in the page it was written in."""
-    table = {}
-    for b in range(128, 256):
-        try:
-            table[ord(bytes([b]).decode(page))] = bytes([b]).decode(written)
-        except UnicodeDecodeError:
-            pass
-    return table
-
-
-@lru_cache(maxsize=100_000)
-def swapped(run: str) -> tuple[tuple[int, str], ...]:
-    """((swap, plain), ...) of a run: only swaps in whose pages all of it is, and that change it into something printable."""
-    out = []
-    for i, (written, page) in enumerate(SWAPS):
-        table = swap_table(written, page)
-        if all(ord(c) in table for c in run):
-            z = run.translate(table)
-            if z != run and (z.isprintable() or "\u00a0" in z):
-                out.append((i, z))
-    return tuple(out)
-
-
-def swap_readings(run: str):
-    """As readings(), for swaps: the run as a whole."""
-    plains = swapped(run)
-    return ((0, len(run), plains),) if plains else ()
-
-
-def garble(text: str, page: str) -> str:
-    """The cipher itself: UTF-8 read through a page, undefined bytes standing for themselves."""
-    back = {ord(b): chr(c) for c, b in byte_table(page).items()}
-    return "".join(c if ord(c) < 128 else "".join(back[b] for b in c.encode("utf-8")) for c in text)
-
-
-def readings(run: str):
-    """What _readings gives, remembered for runs of usual length."""
-    return _remembered(run) if len(run) <= 64 else _readings(run)
-
-
-@lru_cache(maxsize=100_000)
-def _remembered(run: str):
-    return _readings(run)
-
-
-def _readings(run: str) -> tuple[tuple[int, int, tuple[tuple[int, str], ...]], ...]:
-    """(start, end, ((cipher, plain), ...)) of the suspicious segments of a run of non-ASCII characters.
-
-    Segments of different ciphers that overlap are one; each cipher then gives what it makes of the whole segment.
-    """
-    spans: list[tuple[int, int]] = []
-    for page in PAGES:
-        spans += [(a, b) for a, b, _ in segments(run, page)]
-    merged: list[list[int]] = []
-    for a, b in sorted(set(spans)):
-        if merged and a < merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    out = []
-    for a, b in merged:
-        plains = []
-        for i, (page, depth) in enumerate(CIPHERS):
-            text, changed = run[a:b], True
-            for _ in range(depth):
-                found = segments(text, page)
-                changed = changed and bool(found)
-                for s, e, z in reversed(found):
-                    text = text[:s] + z + text[e:]
-            if changed:
-                plains.append((i, text))
-        out.append((a, b, tuple(plains)))
-    return tuple(out)
-
-
-def _cells(a, b, lang):
-    """Hash of (language, character, next character) into the counters; works on numbers and arrays alike."""
-    h = (a * 0x9E3779B1 + b * 0x85EBCA6B + lang * 0xC2B2AE35) & 0xFFFFFFFF
-    return ((h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> 14
-
-
-def _cell1(a, lang):
-    return ((a * 0x9E3779B1 + lang * 0x27D4EB2F) & 0xFFFFFFFF) >> 18
-
-
-@dataclass
-class Model:
-    """Counters of bigrams and unigrams (language 0 is all languages together), and theta per source: CIPHERS, then clean."""
-
-    two: np.ndarray
-    one: np.ndarray
-    theta: dict[str, np.ndarray] = field(default_factory=dict)
-    letters: dict[int, str] = field(default_factory=dict)
-    swaps: dict[str, dict[int, float]] = field(default_factory=dict)
-
-    def chain(self, text: str, lang: int, own: int = 0) -> float:
-        """Log-probability of a text's transitions; ``own`` of each transition's count are the text's own and don't speak for it."""
-        total = 0.0
-        n = self.n = getattr(self, "n", None) or self.one.sum() / 2 or 1.0
-        for x, y in zip(text, text[1:]):
-            a, b = ord(x), ord(y)
-            p = 0.0
-            for l, w in ((lang, 0.7), (0, 0.3)):
-                unigram = self.one[_cell1(b, l)] / n
-                p += w * (max(self.two[_cells(a, b, l)] - own, 0) + KAPPA * unigram) / (self.one[_cell1(a, l)] + KAPPA)
-            total += math.log(p + NEVER)
-        return total
-
-    def weigh(self, left: str, segment: str, right: str, plains, lang: int, theta: np.ndarray) -> np.ndarray:
-        """Responsibility of each cipher and of the segment being right."""
-        logs = np.full(CLEAN + 1, -np.inf)
-        logs[CLEAN] = self.chain(left + segment + right, lang, 1) + math.log(theta[CLEAN] + 1e-12)
-        seen: dict[str, float] = {}
-        for i, z in plains:
-            if z not in seen:
-                seen[z] = self.chain(left + z + right, lang) + UNSEEN * sum(not self.one[_cell1(ord(c), 0)] for c in z)
-            logs[i] = seen[z] + math.log(theta[i] + 1e-12)
-        w = np.exp(logs - logs.max())
-        return w / w.sum()
-
-
-def em(model: Model, contexts: list[tuple[int, str, str, str, int]], rounds: int = ROUNDS, read=readings, clean: int = CLEAN) -> np.ndarray:
-    """theta of one source from its aggregated contexts (language, left, segment, right, count); ``clean`` is the number of ciphers that ``read`` knows.
-
-    What the ciphers give is weighed once; a round only weighs the segments themselves anew, as the counts they owe to
-    garbled text are taken out of the model, and sums up.
-    """
-    pairs: dict[tuple[int, str, str], int] = {}
-    logs, counts, steps = [], [], []
-    memo: dict[tuple[int, str, str], float] = {}
-
-    def chain(text: str, lang: int) -> float:
-        total = 0.0
-        for x, y in zip(text, text[1:]):
-            step = memo.get((lang, x, y))
-            if step is None:
-                step = memo[lang, x, y] = model.chain(x + y, lang)
-            total += step
-        return total
-
-    for lang, left, seg, right, n in contexts:
-        for a, b, plains in read(seg):
-            x, y = left if a == 0 else seg[a - 1], right if b == len(seg) else seg[b]
-            row = np.full(clean + 1, -np.inf)
-            seen: dict[str, float] = {}
-            for i, z in plains:
-                if z not in seen:
-                    seen[z] = chain(x + z + y, lang)
-                row[i] = seen[z]
-            whole = x + seg[a:b] + y
-            steps.append([pairs.setdefault((lang, c, d), len(pairs)) for c, d in zip(whole, whole[1:])])
-            logs.append(row)
-            counts.append(n)
-    theta = np.full(clean + 1, 0.5 / clean)
-    theta[clean] = 0.5
-    if not logs:
-        return theta
-    matrix, count = np.array(logs), np.array(counts, dtype=float)
-    step_row = np.repeat(np.arange(len(steps)), [len(x) for x in steps])
-    step_pair = np.array([k for x in steps for k in x])
-    lang, first, second = np.array([(l, ord(c), ord(d)) for l, c, d in pairs], dtype=np.int64).T
-    total = model.one.sum() / 2 or 1.0
-    stats = [(w, model.two[_cells(first, second, l)], model.one[_cell1(second, l)] / total, model.one[_cell1(first, l)]) for l, w in ((lang, 0.7), (np.zeros_like(lang), 0.3))]
-    gone = np.zeros(len(pairs))
-    for _ in range(rounds):
-        p = sum(w * (np.maximum(two - gone, 0.0) + KAPPA * uni) / (one + KAPPA) for w, two, uni, one in stats)
-        matrix[:, clean] = np.bincount(step_row, np.log(p + NEVER)[step_pair], minlength=len(steps))
-        logit = matrix + np.log(theta + 1e-12)
-        w = np.exp(logit - logit.max(axis=1, keepdims=True))
-        w /= w.sum(axis=1, keepdims=True)
-        mass = count @ w + 1e-3
-        new = mass / mass.sum()
-        gone = np.bincount(step_pair, (count * (1 - w[:, clean]))[step_row], minlength=len(pairs))
-        if np.abs(new - theta).max() < 1e-4:
-            return new
-        theta = new
-    return theta
-
-
-def _lang_code(values: pd.Series) -> np.ndarray:
-    """0 is all languages together, 1 no language; others follow."""
-    return (pd.to_numeric(values, errors="coerce").fillna(-1).astype("int64") + 2).clip(lower=1).to_numpy()
-
-
-#: Suspicious stretches are learned from in pieces of so many characters, so their inventory is bounded by the alphabets.
-PIECE = 8
-
-
-def _contexts(text: str):
-    """(character before, suspicious piece, character after) of a text."""
-    for m in _RUN.finditer(text):
-        run, base = m[0], m.start()
-        if len(run) < 2:
-            continue
-        for a, b, _ in readings(run):
-            for k in range(base + a, base + b, PIECE):
-                end = min(k + PIECE, base + b)
-                yield text[k - 1] if k else " ", text[k:end], text[end] if end < len(text) else " "
-
-
-def _single_contexts(text: str):
-    """(character before, piece, character after) of the runs that are no UTF-8 and may be swapped."""
-    for m in _RUN.finditer(text):
-        run, base = m[0], m.start()
-        if LOST in run or len(run) > 1 and readings(run):
-            continue
-        for k in range(base, m.end(), PIECE):
-            end = min(k + PIECE, m.end())
-            if swap_readings(text[k:end]):
-                yield text[k - 1] if k else " ", text[k:end], text[end] if end < len(text) else " "
-
-
-def _count(batches):
-    """Of one task: counter cells (kind 1 and 2, key the cell), letters by language (kind 3), contexts of suspicious runs (kind 0) and of runs that may be swapped (kind 4)."""
-    two, one = np.zeros(BIGRAMS, np.int64), np.zeros(UNIGRAMS, np.int64)
-    found: dict[tuple, int] = {}
-    single: dict[tuple, int] = {}
-    letters: dict[tuple[int, int], int] = {}
-    for batch in batches:
-        pdf = batch.to_pandas()
-        codes = _lang_code(pdf["lang"])
-        for name in ("a", "b"):
-            texts = pdf[name].fillna("")
-            whole = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
-            if len(whole) < 2:
-                continue
-            lang = np.repeat(codes, texts.str.len().to_numpy() + 1)[: len(whole)]
-            for l in (lang, 0):
-                two += np.bincount(_cells(whole[:-1], whole[1:], l[:-1] if l is lang else 0), minlength=BIGRAMS)
-                one += np.bincount(_cell1(whole, l), minlength=UNIGRAMS)
-            high = whole > 127
-            for l, c in zip(*(x.tolist() for x in np.unique(np.stack([lang[high], whole[high]]), axis=1))):
-                letters[l, c] = letters.get((l, c), 0)
-            for l in np.unique(lang[high]).tolist():
-                chars, n = np.unique(whole[high & (lang == l)], return_counts=True)
-                for c, k in zip(chars.tolist(), n.tolist()):
-                    letters[l, c] += k
-            for text, l, source in zip(texts, codes.tolist(), pdf["source"]):
-                if _SUSPECT.search(text):
-                    for left, run, right in _contexts(text):
-                        k = (source, l, left, run, right)
-                        found[k] = found.get(k, 0) + 1
-                if not text.isascii():
-                    for left, run, right in _single_contexts(text):
-                        k = (source, l, left, run, right)
-                        single[k] = single.get(k, 0) + 1
-    rows = [(kind, 0, l, s, a, r, b, n) for kind, of in ((0, found), (4, single)) for (s, l, a, r, b), n in of.items()]
-    rows += [(3, c, l, None, None, None, None, n) for (l, c), n in letters.items()]
-    for kind, cells in ((1, one), (2, two)):
-        at = np.flatnonzero(cells)
-        rows += [(kind, int(k), 0, None, None, None, None, int(cells[k])) for k in at]
-    cols = list(zip(*rows)) or [[]] * 8
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["kind", "key", "lang", "source", "left", "run", "right", "n"])
+#: Punctuation that a lost byte may have been, beside the letters of the language.
+SIGNS = "“”«»–"
+_SUSPECT = re.compile("[^\x00-\x7f]{2}|\ufffd")
+_RUN = re.compile("[^\x00-\x7f]+")
 
 
 def _fields(df: DataFrame, sources: DataFrame, fields: tuple[str, str]) -> DataFrame:
@@ -347,45 +49,13 @@ def _fields(df: DataFrame, sources: DataFrame, fields: tuple[str, str]) -> DataF
 
 
 def learn(df: DataFrame, sources: DataFrame, fields: tuple[str, str] = ("sentence", "snt")) -> Model:
-    """The model of a corpus, over all its rows. To the driver come counters of a fixed size and theta, one row a source."""
-    own = _fields(df, sources, fields)
-    schema = "kind int, key long, lang long, source string, left string, run string, right string, n long"
-    stats = own.mapInArrow(_count, schema).groupBy("kind", "key", "lang", "source", "left", "run", "right").agg(F.sum("n").alias("n"))
-    from ..session import cut
+    """The ciphers of a corpus' sources, over all its rows."""
+    return decipher.learn(_fields(df, sources, fields))
 
-    stats = cut(stats)
-    model = Model(np.zeros(BIGRAMS), np.zeros(UNIGRAMS))
-    cells = stats.filter("kind in (1, 2)").select("kind", "key", "n").toPandas()
-    for kind, to in ((1, model.one), (2, model.two)):
-        part = cells[cells["kind"] == kind]
-        to[part["key"].to_numpy()] = part["n"].to_numpy()
-    # letters of a language: those in which it writes at least 1 of 2000 of its non-ASCII characters, a bound on their number
-    high = stats.filter("kind = 3").select("lang", "key", "n")
-    total = high.groupBy("lang").agg(F.sum("n").alias("all"))
-    for lang, c, _ in high.join(total, "lang").filter("n * 2000 >= all").select("lang", "key", "n").orderBy(F.desc("n"), "key").collect():
-        if chr(c).isalpha() and ord(chr(c)) < 0x250:
-            model.letters[lang] = model.letters.get(lang, "") + chr(c)
-    sent = df.sparkSession.sparkContext.broadcast(model)
-
-    def of_source(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(pdf["lang"].tolist(), pdf["left"], pdf["run"], pdf["right"], pdf["n"].tolist()))
-        return pd.DataFrame({"source": [key[0]], "theta": [em(sent.value, rows).tolist()]})
-
-    learned = stats.filter("kind = 0").select("source", "lang", "left", "run", "right", "n").groupBy("source").applyInPandas(of_source, "source string, theta array<double>")
-    model.theta = {s: np.array(t) for s, t in learned.collect()}
-
-    def swaps_of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(pdf["lang"].tolist(), pdf["left"], pdf["run"], pdf["right"], pdf["n"].tolist()))
-        theta = em(sent.value, rows, read=swap_readings, clean=len(SWAPS))
-        return pd.DataFrame({"source": [key[0]], "theta": [theta.tolist()], "n": [float(pdf["n"].sum())]})
 
-    # two pages may differ in few letters, so the swaps of a source share what they explain: their sum must be enough
-    single = stats.filter("kind = 4").select("source", "lang", "left", "run", "right", "n").groupBy("source").applyInPandas(swaps_of, "source string, theta array<double>, n double")
-    for s, t, n in single.collect():
-        share = 1 - t[-1]
-        if share >= SWAPPED and share * n >= LEAST:
-            model.swaps[s] = {i: x for i, x in enumerate(t) if x >= SWAPPED / len(SWAPS) or i == len(SWAPS)}
-    return model
+@lru_cache(maxsize=10_000)
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").partition(" ")[0]
 
 
 def _lost(text: str, at: int, end: int, lang: int, model: Model) -> str | None:
@@ -393,10 +63,13 @@ def _lost(text: str, at: int, end: int, lang: int, model: Model) -> str | None:
     piece = text[at:end]
     left, right = text[at - 1] if at else " ", text[end] if end < len(text) else " "
     options: set[str] = set()
-    for letter in model.letters.get(lang, "") + "“”«»–":
+    scripts = {_script(c) for c in left + right if c.isalpha()}
+    for letter in model.letters.get(lang, "") + SIGNS:
+        if scripts and letter not in SIGNS and _script(letter) not in scripts:
+            continue  # a letter is of its word's script
         if len(piece) == 1:
             options.add(letter)
-        for page in ("cp1252", "latin-1"):
+        for page in ("cp1252", "latin_1"):
             g = garble(letter, page)
             if len(g) == len(piece) and all(p in (LOST, c) for p, c in zip(piece, g)):
                 options.add(letter)
@@ -407,29 +80,24 @@ def _lost(text: str, at: int, end: int, lang: int, model: Model) -> str | None:
     return scored[0][1] if rest < 0.25 else None
 
 
-def _unswapped(text: str, lang: int, source: str, model: Model) -> str | None:
-    """The text as it was before its source's likeliest swap, None if it is likelier right as it is."""
-    theta = model.swaps.get(source)
-    if not theta or text.isascii() or LOST in text:
+def _unswapped(text: str, lang: int, source: str, model: Model) -> tuple[str, bool] | None:
+    """The text as its source's mapping gives it and whether all of it was mapped; None if it is likelier right as it is."""
+    swap = model.swaps.get(source)
+    if not swap or text.isascii() or LOST in text:
         return None
-    runs = [(text[m.start() - 1] if m.start() else " ", m[0], text[m.end()] if m.end() < len(text) else " ") for m in _RUN.finditer(text)]
-    own = math.log(theta[len(SWAPS)] + 1e-12) + sum(model.chain(a + r + b, lang, 1) for a, r, b in runs)
-    weights: dict[str, list[float]] = {}
-    for i, t in theta.items():
-        if i < len(SWAPS):
-            table = swap_table(*SWAPS[i])
-            if all(ord(c) in table for _, r, _ in runs for c in r):
-                z = [r.translate(table) for _, r, _ in runs]
-                if any(x != r for x, (_, r, _) in zip(z, runs)):
-                    w = math.log(t + 1e-12) + sum(model.chain(a + x + b, lang) + UNSEEN * sum(not model.one[_cell1(ord(c), 0)] for c in x) for x, (a, _, b) in zip(z, runs))
-                    weights.setdefault(_RUN.sub(lambda m: m[0].translate(table), text), []).append(w)
-    if not weights:
-        return None
-    most = max(max(w) for w in weights.values())
-    by = {z: sum(math.exp(x - most) for x in w) for z, w in weights.items()}
-    if math.log(sum(by.values())) + most <= own:
-        return None
-    return max(by, key=lambda z: (by[z], z))
+    table, share = swap
+    own, other, whole = math.log(1 - share + 1e-12), math.log(share + 1e-12), True
+    known = model.letters.get(lang, "")
+    changed = False
+    for m in _RUN.finditer(text):
+        run = m[0]
+        new = run.translate(table)
+        left, right = text[m.start() - 1] if m.start() else " ", text[m.end()] if m.end() < len(text) else " "
+        own += model.chain(left + run + right, lang, 1, True)
+        other += model.chain(left + new + right, lang) + model.unseen(new)
+        changed = changed or new != run
+        whole = whole and all(ord(c) in table or c in known for c in run)
+    return (text.translate(table), whole) if changed and other > own else None
 
 
 def restore(text: str | None, lang: int, source: str, model: Model) -> tuple[bool, bool, str | None]:
@@ -438,8 +106,7 @@ def restore(text: str | None, lang: int, source: str, model: Model) -> tuple[boo
         return False, False, text
     theta = model.theta.get(source)
     if theta is None:
-        theta = np.full(CLEAN + 1, 0.5 / CLEAN)
-        theta[CLEAN] = 0.5
+        theta = first_theta()
     garbled, whole = False, True
     edits: list[tuple[int, int, str]] = []
     for m in _RUN.finditer(text):
@@ -459,7 +126,7 @@ def restore(text: str | None, lang: int, source: str, model: Model) -> tuple[boo
     if not garbled:
         plain = _unswapped(text, lang, source, model)
         if plain is not None:
-            return True, True, plain
+            return True, plain[1], plain[0]
     if LOST in text:
         garbled = True
         out, at = [], 0
@@ -485,7 +152,7 @@ def garbled_fields(df: DataFrame, sources: DataFrame, fields: tuple[str, str] =
     def run(batches):
         for batch in batches:
             pdf = batch.to_pandas()
-            codes = _lang_code(pdf["lang"])
+            codes = lang_code(pdf["lang"])
             out = []
             for col, name in (("a", fields[0]), ("b", fields[1])):
                 for row, text, lang, source in zip(pdf["row_id"].tolist(), pdf[col], codes.tolist(), pdf["source"]):
