@@ -6,7 +6,9 @@ may be numbers of phones or persons are anchors too. After a cue any 8 to 15 dig
 (no date, no round number, no amount of money); without a cue the usual groupings are, but no bare row of digits unless it
 begins as a mobile number does. Of two cues before a number the nearer one counts. Names are found from their own words: those of the lexicon, and words that
 the corpus uses as names, learned over all documents (a word is learned as given or family name if at least half of its
-capitalised uses stand beside a known name word of the other kind). What is learned is sent as a bit set of a fixed size.
+capitalised uses stand beside a known name word of the other kind). What is learned is sent as a bit set, sized by the number
+of learned words so that less than one word in 100,000 that wasn't learned is taken for one, at any size of corpus.
+Accounts (IBAN, cards) are validated by their check digits; user names before a host in an address with a scheme are no email.
 
 Null and empty texts hold no mention. Repeated texts are searched each for itself. Mentions never overlap.
 """
@@ -24,10 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 KINDS = ("name", "email", "phone", "id_number", "address")
 GIVEN, FAMILY = 1, 2
-#: Bits of the set of learned name words, and bits set for each word.
-BITS, HASHES = 1 << 24, 2
+#: Bits of the set of learned name words for each word and kind, bits set for each, and bits of a part that a task makes.
+PER_WORD, HASHES, PART = 40, 6, 1 << 18
+#: Most bits that are sent (256 MB, 50 million words); more is an error, never a fuller set.
+MOST_BITS = 1 << 31
+#: Characters on each side of a street's word in which its address is looked for; longer ones are none.
+AROUND = 240
 #: Most rows of a lexicon that is sent as it is; beyond, it belongs into the learned set.
 MOST = 100_000
 
@@ -48,6 +56,9 @@ _UP = "A-ZÀ-ÖØ-Þ"
 _LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_+-])?\Z")
 _DOT = r"(?:\.|\s?\[\s?(?:dot|DOT|punto|punt|punkt)\s?\]\s?|\s?\(\s?(?:dot|DOT|punto|punt|punkt)\s?\)\s?|\s(?:dot|DOT)\s)"
 _DOMAIN = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
+_SCHEME = re.compile(r"[a-zA-Z][\w+.-]*://[^\s/@<>]*\Z")
+_IBAN = re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?:[ ]?[A-Z\d]{4}){2,7}(?:[ ]?[A-Z\d]{1,4})?(?![\w-])")
+_CARD = re.compile(r"(?<![\w.,+/-])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}([ -]?)\d{6}\2\d{5})(?![\w/])(?![-.,]\d)")
 _SPELLED = re.compile(r"dot|punto|punt|punkt", re.I)
 _AFTER_DOMAIN = re.compile(r"\s?(?:@|\[at\]|\(at\)|_)", re.I)
 _MARKED = re.compile(r"[0-9._+-]")
@@ -128,10 +139,12 @@ def _email(text: str, a: int, b: int) -> tuple[int, int] | None:
     while begin and left - begin < 64 and (text[begin - 1].isascii() and (text[begin - 1].isalnum() or text[begin - 1] in "._%+-")):
         begin -= 1
     local = _LOCAL.search(text[begin:left])
-    domain = _DOMAIN.match(text, right, min(len(text), right + 120))
+    domain = _DOMAIN.match(text, right)
     if not local or not domain:
         return None
     begin += local.start()
+    if _SCHEME.search(text, max(0, begin - 300), begin):
+        return None
     labels = re.split(_DOT, domain[0])
     end = domain.end()
     if len(labels[-1]) < 2 or not labels[-1].isalpha() or _AFTER_DOMAIN.match(text, end):
@@ -144,8 +157,8 @@ def _email(text: str, a: int, b: int) -> tuple[int, int] | None:
 
 def _labelled(text: str, at: int) -> tuple[int, int] | None:
     """The identity number after a cue that ends at this place."""
-    gap = _AFTER_CUE.match(text, at, min(len(text), at + 70))
-    m = gap and _LABELLED.match(text, gap.end(), min(len(text), gap.end() + 24))
+    gap = _AFTER_CUE.match(text, at)
+    m = gap and _LABELLED.match(text, gap.end())
     if m and sum(c.isdigit() for c in m[0]) >= 6 and not _NUMBER.fullmatch(m[0]):
         return m.start(), m.end()
     return None
@@ -180,6 +193,24 @@ def _dialled(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     return start, end
 
 
+def _account(text: str) -> list[tuple[int, int]]:
+    """Accounts in international form and cards whose check digits are right; groups of an account after its right end are dropped."""
+    out = []
+    for m in _IBAN.finditer(text):
+        end = m.end()
+        while end - m.start() >= 15:
+            plain = text[m.start() : end].replace(" ", "")
+            if len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+                out.append((m.start(), end))
+                break
+            end = text.rfind(" ", m.start(), end)
+    for m in _CARD.finditer(text):
+        digits = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if any(digits) and (sum(digits[::2]) + sum(d * 2 - 9 * (d > 4) for d in digits[1::2])) % 10 == 0:
+            out.append(m.span())
+    return out
+
+
 class Names:
     """Kinds of name words: lexicon, and a bit set of learned words."""
 
@@ -204,12 +235,12 @@ class Names:
         return k
 
 
-def _positions(word: str, kind: int) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(f"{kind}:{word}", seed=i) % BITS for i in range(HASHES)]
+def _positions(word: str, kind: int, size: int) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(f"{kind}:{word}", seed=i) % size for i in range(HASHES)]
 
 
 def _has(bits: bytes, word: str, kind: int) -> bool:
-    return all(bits[p >> 3] >> (p & 7) & 1 for p in _positions(word, kind))
+    return all(bits[p >> 3] >> (p & 7) & 1 for p in _positions(word, kind, 8 * len(bits)))
 
 
 def _words(text: str) -> list[tuple[int, int, str]]:
@@ -265,11 +296,12 @@ def mentions(text: str | None, names: Names) -> list[tuple[int, int, str]]:
             if e:
                 found.append((*e, "phone", 2 + (e[0] - b) / 1000))
         else:
-            low = max(0, text.rfind("\n", 0, a) + 1, a - 80)
+            low = max(text.rfind("\n", max(0, a - AROUND), a) + 1, a - AROUND, 0)
             pattern = {"en": _EN, "es": _ES, "nl": _NL}[kind]
-            for m in pattern.finditer(text, low if kind != "es" else a, min(len(text), b + 80)):
+            for m in pattern.finditer(text, low if kind != "es" else a, min(len(text), b + AROUND)):
                 if m.start() <= a + 1 and m.end() >= b - 2:
                     found.append((m.start(), m.end(), "address", 4))
+    found += [(a, b, "id_number", 0.5) for a, b in _account(text)]
     for m in _NUMBER.finditer(text):
         kind = m.lastgroup
         if kind == "phone" and not 8 <= sum(c.isdigit() for c in m[0]) <= 15:
@@ -343,20 +375,39 @@ def learn_names(docs: DataFrame, lexicon: DataFrame, text_col: str = "text") ->
     names = Names(lexicon_of(lexicon))
     uses = docs.select(docs[text_col].alias("text")).mapInArrow(_use(names), "w string, n long, g long, f long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("f").alias("f"))
 
+    learned = cut(uses.filter("2 * g >= n or 2 * f >= n").select("w", (F.col("g") * 2 >= F.col("n")).alias("given"), (F.col("f") * 2 >= F.col("n")).alias("family")))
+    # parts of a double family name are learned each
+    n = int(learned.agg(F.sum(F.col("given").cast("long") + F.when(F.col("family"), F.size(F.split("w", "-"))).otherwise(0))).first()[0] or 0)
+    size = PART
+    while size < PER_WORD * n:
+        size *= 2
+    if size > MOST_BITS:
+        raise ValueError(f"{n} learned name words are more than can be sent")
+
     def places(batches):
         for b in batches:
             out = []
-            for w, n, g, f in zip(*(c.to_pylist() for c in b.columns)):
-                for kind, k in ((GIVEN, g), (FAMILY, f)):
-                    if 2 * k >= n:
-                        for p in (w.split("-") if kind == FAMILY else [w]):
-                            out += _positions(p, kind)
+            for w, given, family in zip(*(c.to_pylist() for c in b.columns)):
+                if given:
+                    out += _positions(w, GIVEN, size)
+                for p in w.split("-") if family else ():
+                    out += _positions(p, FAMILY, size)
             yield pa.RecordBatch.from_arrays([pa.array(sorted(set(out)), pa.int64())], ["p"])
 
-    bits = np.zeros(BITS // 8, dtype=np.uint8)
-    at = uses.filter("2 * g >= n or 2 * f >= n").mapInArrow(places, "p long").distinct().toPandas()["p"].to_numpy(dtype=np.int64)
-    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    names.bits = bits.tobytes()
+    def parts(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = b.column(0).to_numpy()
+            for k in np.unique(at // PART).tolist():
+                own = held.setdefault(k, np.zeros(PART // 8, np.uint8))
+                mine = at[at // PART == k] % PART
+                np.bitwise_or.at(own, mine >> 3, (1 << (mine & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["part", "bits"])
+
+    bits = bytearray(size // 8)
+    for k, own in learned.mapInArrow(places, "p long").repartition(F.expr(f"p div {PART}")).mapInArrow(parts, "part long, bits binary").toLocalIterator():
+        bits[k * PART // 8 : (k + 1) * PART // 8] = own
+    names.bits = bytes(bits)
     return names
 
 

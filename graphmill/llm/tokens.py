@@ -39,7 +39,11 @@ def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
 
 
 class Trie:
-    """Longest-match segmentation with failure links; tokens are bytes, every single byte should be one."""
+    """Longest-match segmentation with failure links; tokens are bytes, any set of them.
+
+    A byte that starts no token is a token of its own. Every node knows what is certain once no byte continues it: the longest
+    token on its path (or its first byte, where none is) and the node where the rest of the path leads, by the same rule.
+    """
 
     def __init__(self, tokens) -> None:
         self.next: list[dict[int, int]] = [{}]
@@ -55,24 +59,32 @@ class Trie:
                 v = w
             final[v] = True
         n = len(self.next)
-        #: where a node goes on when a byte doesn't continue it, -1 for nowhere, and the tokens that are then certain
-        self.fail, self.emit = [-1] * n, [0] * n
+        #: where a node goes on when a byte doesn't continue it, and the tokens that are then certain
+        self.fail, self.emit = [0] * n, [0] * n
         todo: deque[tuple[int, int, int]] = deque((v, 0, b) for b, v in self.next[0].items())
         while todo:
             v, parent, byte = todo.popleft()
-            if final[v]:
-                self.fail[v], self.emit[v] = 0, 1
+            if final[v] or parent == 0:
+                self.emit[v] = 1  # a token, or a byte that only begins one
             else:
-                z, k = self.fail[parent], self.emit[parent]
-                while z >= 0 and byte not in self.next[z]:
-                    k += self.emit[z]
-                    z = self.fail[z]
-                if z >= 0:
-                    self.fail[v], self.emit[v] = self.next[z][byte], k
+                self.fail[v], more = self._advance(self.fail[parent], byte)
+                self.emit[v] = self.emit[parent] + more
             todo.extend((w, v, b) for b, w in self.next[v].items())
 
+    def _advance(self, v: int, byte: int) -> tuple[int, int]:
+        """(node, certain tokens) after one more byte; nodes above must know their failures."""
+        k = 0
+        while True:
+            w = self.next[v].get(byte)
+            if w is not None:
+                return w, k
+            if v == 0:
+                return 0, k + 1
+            k += self.emit[v]
+            v = self.fail[v]
+
     def count(self, data: bytes) -> int:
-        """Tokens of the longest-match segmentation; a byte that starts no token counts as one."""
+        """Tokens of the longest-match segmentation."""
         total, v = 0, 0
         nxt, fail, emit = self.next, self.fail, self.emit
         for b in data:
@@ -82,29 +94,15 @@ class Trie:
                     total += 1
                     w = 0
                     break
-                if fail[v] < 0:  # a stretch that no sequence of tokens covers: one token a byte of it
-                    total += self.depth(v)
-                    v = 0
-                else:
-                    total += emit[v]
-                    v = fail[v]
+                total += emit[v]
+                v = fail[v]
                 w = nxt[v].get(b)
             v = w
         while v:
-            if fail[v] < 0:
-                return total + self.depth(v)
             total += emit[v]
             v = fail[v]
         return total
 
-    def depth(self, v: int) -> int:
-        if not hasattr(self, "_depth"):
-            self._depth = [0] * len(self.next)
-            for u in range(len(self.next)):
-                for w in self.next[u].values():
-                    self._depth[w] = self._depth[u] + 1
-        return self._depth[v]
-
 
 def greedy_count(data: bytes, tokens: set[bytes]) -> int:
     """The same by definition, for tests: take the longest token again and again."""

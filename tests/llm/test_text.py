@@ -27,6 +27,16 @@ def test_trie_without_single_bytes():
         assert trie.count(text) == tokens.greedy_count(text, vocab), text
 
 
+def test_trie_of_incomplete_vocabularies():
+    """Tokens that aren't reached byte by byte: dead stretches hold certain tokens."""
+    assert tokens.Trie({b"ab", b"abcd", b"x"}).count(b"abcx") == 3
+    rng = random.Random(9)
+    for _ in range(3000):
+        vocab = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 9))}
+        text = bytes(rng.choice(b"abcd") for _ in range(rng.randrange(40)))
+        assert tokens.Trie(vocab).count(text) == tokens.greedy_count(text, vocab), (vocab, text)
+
+
 def test_counts_of_a_tokenizer():
     ranks = tokens.read_vocabulary()
     c = tokens.Counts(ranks)
@@ -297,6 +307,27 @@ def test_phones_without_cues_and_what_is_none():
     assert [k for _, k in found("phone or passport: 612345678")] == ["id_number"] and [k for _, k in found("passport by phone: 612345678")] == ["phone"]
 
 
+def test_accounts_and_schemes():
+    assert found("IBAN DE89 3704 0044 0532 0130 00, and") == [("DE89 3704 0044 0532 0130 00", "id_number")]
+    assert found("GB82WEST12345698765432") == [("GB82WEST12345698765432", "id_number")] and found("ref GB83WEST12345698765432") == []
+    assert found("card 4111 1111 1111 1111.") == [("4111 1111 1111 1111", "id_number")] and found("card 4111 1111 1111 1112.") == []
+    assert found("see https://user:pw@host.org/x") == [] and found("ftp://me@host.example.org") == []
+    long = "a" * 60 + "@" + ".".join(["part"] * 60) + ".org"
+    assert found(f"to {long}, x") == [(long, "email")]
+
+
+def test_learned_words_are_a_sized_set():
+    """Of words that weren't learned hardly any is taken for one, however many were."""
+    n = 20_000
+    bits = bytearray((1 << 20) // 8)
+    for i in range(n):
+        for p in personal._positions(f"word{i}", personal.GIVEN, 1 << 20):
+            bits[p >> 3] |= 1 << (p & 7)
+    bits = bytes(bits)
+    assert (1 << 20) >= personal.PER_WORD * n and all(personal._has(bits, f"word{i}", personal.GIVEN) for i in range(n))
+    assert sum(personal._has(bits, f"other{i}", personal.GIVEN) for i in range(100_000)) <= 5
+
+
 def test_redact():
     names = personal.Names(LEXICON)
     assert personal.redact("é Tovela Marnick: a@b.test, +1 693 555 0182", names) == "é [NAME]: [EMAIL], [PHONE]"
