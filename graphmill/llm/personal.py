@@ -50,9 +50,12 @@ ID_CUES = ("social security", "Social Security", "SSN", "identity no", "identity
 PHONE_STEMS = ("phone", "telefon", "telefoon", "teléfon", "rufnummer", "faxnumm", "durchwahl", "festnetz", "whatsapp", "handynummer", "mobielnummer", "mobilnummer")
 PHONE_WORDS = ("tel", "telf", "tlf", "tfno", "tfn", "téléphone", "fax", "gsm", "handy", "móvil", "movil", "mobiel", "mobil", "fijo", "landline", "hotline", "helpline")
 PHONE_WEAK = ("mobile", "mob", "cell", "call", "ring", "text", "sms", "dial", "bel", "bellen", "belt", "llame", "llamar", "llama", "llámame", "marque", "anrufen", "anruf", "ruf", "rufen", "erreichbar", "bereikbaar")
+#: Particles between given and family name.
+PARTICLES = "van|Van|von|Von|de|De|del|Del|der|Der|den|Den|des|la|La|las|los|ter|Ter|ten|Ten|te|zu|zum|zur|di|da|dos|du|le"
 # ------------------------------------------------------------------------------------------------------------------------
 
-_UP = "A-ZÀ-ÖØ-Þ"
+#: Capital letters of the Latin script, by rule.
+_UP = "A-Z" + "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isupper())
 _LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_+-])?\Z")
 _DOT = r"(?:\.|\s?\[\s?(?:dot|DOT|punto|punt|punkt)\s?\]\s?|\s?\(\s?(?:dot|DOT|punto|punt|punkt)\s?\)\s?|\s(?:dot|DOT)\s)"
 _DOMAIN = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
@@ -103,8 +106,8 @@ _MONEY = re.compile(r"[ \u00a0]?(?:[€$£%]|(?:EUR|USD|GBP|euros?|dollars?|poun
 _EN = re.compile(rf"(?<![\w.,/-])\d{{1,5}}[A-Za-z]?[ \t]+(?:(?:[{_UP}][\w'’-]*|[NSEW]\.)[ \t]+){{1,4}}(?:{'|'.join(STREETS_EN)})\b\.?(?:,?[ \t]*(?:(?:Apt|Apartment|Flat|Unit|Suite|Room)\.?[ \t]*\w+|\#[ \t]?\w+))?")
 _ES = re.compile(rf"(?:{'|'.join(map(re.escape, STREETS_ES))})\.?[ \t]+(?:(?:de|del|la|las|los|el)[ \t]+)*[{_UP}]\w*(?:[ \t]+(?:(?:de|del|la|las|los|el|y)[ \t]+)*[{_UP}]\w*){{0,4}},?[ \t]+(?:n\.?[ \t]?º[ \t]?|núm\.?[ \t]?|nº[ \t]?)?\d{{1,4}}\b(?:,?[ \t]*\d{{1,2}}\.?[ \t]?[ºª][ \t]*[A-Z]?\b)?")
 _NL = re.compile(rf"(?:(?:{QUALIFIERS})[ \t]+)?(?<!\w)[{_UP}]\w*(?:[ -][{_UP}]\w*)?(?:{'|'.join(map(re.escape, STREETS_NL_DE))})[ \t]+\d{{1,4}}(?:[ \t]?bis\b|-[A-Z0-9]+\b|[ \t]?[a-z]\b|[A-Z]\b)?")
-_CAP = re.compile(rf"(?<![\w@.+-])[{_UP}][^\W\d_]+(?:-[{_UP}][^\W\d_]+)*(?![\w@+])")
-_SPACE = re.compile(rf"[ \t ]*\n?[ \t ]*(?:(?:[{_UP}]\.[ \t ]*){{1,3}}\n?[ \t ]*)?\Z")
+_CAP = re.compile(rf"(?<![\w@.+-])(?:[ODL]['’])?[{_UP}][^\W\d_]+(?:-[{_UP}][^\W\d_]+)*(?![\w@+])")
+_SPACE = re.compile(rf"[ \t ]*\n?[ \t ]*(?:(?:[{_UP}]\.[ \t ]*){{1,3}}\n?[ \t ]*)?(?:(?:{PARTICLES})[ \t\u00a0]+){{0,3}}\Z")
 _COMMA = re.compile(r",[ \t ]*\n?[ \t ]*\Z")
 
 
@@ -249,7 +252,7 @@ def _words(text: str) -> list[tuple[int, int, str]]:
 
 def _gap(text: str, a: int, b: int) -> str:
     """How two words stand to each other: s (blank, initials between), c (comma) or nothing."""
-    if b - a > 14 or b <= a:
+    if b - a > 30 or b <= a:
         return ""
     g = text[a:b]
     return "s" if _SPACE.match(g) else "c" if _COMMA.match(g) else ""

@@ -275,7 +275,7 @@ def found(text, names=None):
     ("text", "want"),
     [
         ("Dear Tovela Marnick, hi", [("Tovela Marnick", "name")]), ("Signed, Tovela J. Marnick-Holsted", [("Tovela J. Marnick-Holsted", "name")]), ("Dr. Marnick, Tovela signed", [("Marnick, Tovela", "name")]),
-        ("Marnick, Tovela Holsted", [("Tovela Holsted", "name")]), ("TOVELA MARNICK", [("TOVELA MARNICK", "name")]), ("Tovela came", []), ("a tovela marnick", []), ("x Tovela\nMarnick", [("Tovela\nMarnick", "name")]), ("Tovela. Marnick", []),
+        ("Marnick, Tovela Holsted", [("Tovela Holsted", "name")]), ("TOVELA MARNICK", [("TOVELA MARNICK", "name")]), ("Tovela came", []), ("a tovela marnick", []), ("x Tovela\nMarnick", [("Tovela\nMarnick", "name")]), ("Tovela. Marnick", []), ("with Tovela van der Marnick.", [("Tovela van der Marnick", "name")]), ("Tovela de la Marnick", [("Tovela de la Marnick", "name")]),
         ("to a.b+c@mail.example.net.", [("a.b+c@mail.example.net", "email")]), ("(x_1@lab.test)", [("x_1@lab.test", "email")]), ("r.x (at) mail[dot]example[dot]net)", [("r.x (at) mail[dot]example[dot]net", "email")]), ("z9 at example dot org, ok", [("z9 at example dot org", "email")]),
         ("q[at]post dot invalid. Next", [("q[at]post dot invalid", "email")]), ("ruth_59 @ mail[dot]example", [("ruth_59 @ mail[dot]example", "email")]), ("ARG0@node are", []), ("Follow @graphwatch for", []), ("met at 23:22.", []), ("write to Ab at c1@d.test", [("c1@d.test", "email")]), ("mailto:a@b.test", [("a@b.test", "email")]),
         ("on +49 (0)30 00002221, x", [("+49 (0)30 00002221", "phone")]), ("(890) 555-0157.", [("(890) 555-0157", "phone")]), ("+1 693 555 0182", [("+1 693 555 0182", "phone")]), ("890.555.0157.", [("890.555.0157", "phone")]), ("07700 900547", [("07700 900547", "phone")]), ("06-00002168", [("06-00002168", "phone")]), ("0031600000862", [("0031600000862", "phone")]),
@@ -328,6 +328,12 @@ def test_learned_words_are_a_sized_set():
     assert sum(personal._has(bits, f"other{i}", personal.GIVEN) for i in range(100_000)) <= 5
 
 
+def test_names_with_other_capitals():
+    names = personal.Names({**LEXICON, "şahin": 2, "o'brien": 2, "łucja": 1})
+    for text in ("Łucja Şahin", "Tovela O'Brien"):
+        assert found(f"met {text}, x", names) == [(text, "name")]
+
+
 def test_redact():
     names = personal.Names(LEXICON)
     assert personal.redact("é Tovela Marnick: a@b.test, +1 693 555 0182", names) == "é [NAME]: [EMAIL], [PHONE]"
