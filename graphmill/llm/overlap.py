@@ -3,7 +3,8 @@
 Near-same by words: an evaluation record and a training record share at least a given part of their distinct words. Word
 n-grams are taken over the words in order of rarity (rarest first): two sets with Jaccard similarity t share at least n
 of their first |x| - ceil(t |x|) + n words, so the n-grams of these words are hashed, partitioned and joined, and no pair
-is lost. A 64-bit parity sketch and the sizes bound the difference of a candidate from below inside the join; what stays
+is lost. An n-gram that would give many candidates is hot: it is counted before, and records give it with each word of the
+prefix for n + 1 words added instead, for they share at least n + 1 of these. A 64-bit parity sketch and the sizes bound the difference of a candidate from below inside the join; what stays
 is compared exactly. Equal word sets are collapsed to classes before, so copies never multiply candidates.
 Same by graph: equal canonical graphs, by a 128-bit hash.
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
+from .bits import bit_set
 from .canon import canonical_graph
 
 #: Frequencies of words are counted in so many buckets of their hash: any order is exact, the bound keeps it small.
@@ -29,6 +31,9 @@ BUCKETS = 1 << 16
 N = 2
 #: Words of a record up to which pairs are found by n-grams of N words; beyond, by single words.
 LONG = 256
+#: A gram is hot if its candidates are more than so many times the records that hold it. Hot grams are sent as a bit set of
+#: a fixed size; one that isn't hot but falls on its bits is only longer than it had to be.
+HOT, BITS = 16, 1 << 26
 #: Grams after which a task hands on what it has.
 FLUSH = 500_000
 #: Similarity as a fraction of integers, compared without rounding.
@@ -70,12 +75,18 @@ def _frequencies(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _grams(freq: np.ndarray):
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        g = a * np.int64(-7046029254386353131) + b
+        return (g ^ (g >> 29)) * np.int64(-4658895280553007687)
+
+
+def _grams(freq: np.ndarray, hot=None, count: bool = False):
     """Hashed n-grams of the first words in order of rarity of each record, with its id, parity sketch and number of words.
 
     The grams of a record grow as its words to the power N. So pairs whose larger record has more than LONG words are found
     by single words (salted, so they meet no other grams): such records give these only, those that may be their smaller
-    partner give both.
+    partner give both. ``hot``: a broadcast bit set of the grams to be extended. ``count``: the grams only.
     """
     pairs: dict[int, tuple[np.ndarray, ...]] = {}
     salt = np.int64(0x5DEECE66D1234567)
@@ -84,6 +95,7 @@ def _grams(freq: np.ndarray):
         return x[: len(x) - -(-NUM * len(x) // DEN) + n]
 
     def run(batches):
+        held_bits = np.frombuffer(hot.value, np.uint8) if hot is not None else None
         for batch in batches:
             cids, words = batch.column(0).to_numpy(), batch.column(1)
             values = words.flatten().to_numpy()
@@ -94,6 +106,8 @@ def _grams(freq: np.ndarray):
             held = 0
 
             def flush():
+                if count:
+                    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64))], ["gram"])
                 found, k = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (grams, of))
                 return pa.RecordBatch.from_arrays([pa.array(found), pa.array(cids[k]), pa.array(masks[k]), pa.array(sizes[k])], ["gram", "cid", "mask", "n"])
 
@@ -112,8 +126,16 @@ def _grams(freq: np.ndarray):
                         if len(y) not in pairs:
                             pairs[len(y)] = np.triu_indices(len(y), 1)
                         j, k = pairs[len(y)]
-                        g = y[j] * np.int64(-7046029254386353131) + y[k]
-                        grams.append((g ^ (g >> 29)) * np.int64(-4658895280553007687))
+                        g = _mixed(y[j], y[k])
+                        if held_bits is not None and len(g):
+                            at = g & (BITS - 1)
+                            long = (held_bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                            z = prefix(x, N + 1)
+                            third = np.arange(len(z))
+                            fits = (third != j[long][:, None]) & (third != k[long][:, None])
+                            more = _mixed(g[long][:, None] ^ salt, z[None, :])[fits]
+                            g = np.concatenate([g[~long], more])
+                        grams.append(g)
                 while len(of) < len(grams):
                     of.append(np.full(len(grams[len(of)]), i))
                     held += len(of[-1])
@@ -125,6 +147,14 @@ def _grams(freq: np.ndarray):
     return run
 
 
+def _hot_grams(classes: DataFrame, freq: np.ndarray) -> bytes:
+    """The grams of which candidates are more than HOT times the records, as a bit set."""
+    sides = (classes.filter(side).select("cid", "w").mapInArrow(_grams(freq, count=True), "gram long").select("gram", F.lit(a).alias("e"), F.lit(1 - a).alias("t")) for side, a in (("has_eval", 1), ("has_train", 0)))
+    e, t = sides
+    counts = e.unionByName(t).groupBy("gram").agg(F.sum("e").alias("e"), F.sum("t").alias("t")).filter(F.col("e") * F.col("t") > HOT * (F.col("e") + F.col("t")))
+    return bit_set(counts.select(F.col("gram").bitwiseAND(BITS - 1)), BITS)
+
+
 def _enough(overlap: Column, a: Column, b: Column) -> Column:
     return DEN * overlap >= NUM * (a + b - overlap)
 
@@ -133,7 +163,7 @@ def word_matches(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes: set_key, cid, n; pairs of classes: cid_e, cid_t, n_e, n_t, overlap), the pair of a class with itself included."""
     classes = cut(rows.filter("w is not null").groupBy("set_key").agg(F.min("row_id").alias("cid"), F.max("is_eval").alias("has_eval"), F.max(~F.col("is_eval")).alias("has_train"), F.first("w").alias("w")))
     freq = _frequencies(rows)
-    emit, schema = _grams(freq), "gram long, cid long, mask long, n int"
+    emit, schema = _grams(freq, rows.sparkSession.sparkContext.broadcast(_hot_grams(classes, freq))), "gram long, cid long, mask long, n int"
     # each side's grams come from its own classes only
     e, t = (classes.filter(side).select("cid", "w").mapInArrow(emit, schema).select("gram", *(F.col(c).alias(f"{c}_{k}") for c in ("cid", "mask", "n"))) for side, k in (("has_eval", "e"), ("has_train", "t")))
     # the difference of two sets is at least the bits in which their parity sketches differ, and at most what the similarity leaves

@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .bits import PART, bit_set
 
 KINDS = ("name", "email", "phone", "id_number", "address")
 GIVEN, FAMILY = 1, 2
-#: Bits of the set of learned name words for each word and kind, bits set for each, and bits of a part that a task makes.
-PER_WORD, HASHES, PART = 40, 6, 1 << 18
+#: Bits of the set of learned name words for each word and kind, and bits set for each.
+PER_WORD, HASHES = 40, 6
 #: Most bits that are sent (256 MB, 50 million words); more is an error, never a fuller set.
 MOST_BITS = 1 << 31
 #: Characters on each side of a street's word in which its address is looked for; longer ones are none.
@@ -397,20 +398,7 @@ def learn_names(docs: DataFrame, lexicon: DataFrame, text_col: str = "text") ->
                     out += _positions(p, FAMILY, size)
             yield pa.RecordBatch.from_arrays([pa.array(sorted(set(out)), pa.int64())], ["p"])
 
-    def parts(batches):
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            at = b.column(0).to_numpy()
-            for k in np.unique(at // PART).tolist():
-                own = held.setdefault(k, np.zeros(PART // 8, np.uint8))
-                mine = at[at // PART == k] % PART
-                np.bitwise_or.at(own, mine >> 3, (1 << (mine & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["part", "bits"])
-
-    bits = bytearray(size // 8)
-    for k, own in learned.mapInArrow(places, "p long").repartition(F.expr(f"p div {PART}")).mapInArrow(parts, "part long, bits binary").toLocalIterator():
-        bits[k * PART // 8 : (k + 1) * PART // 8] = own
-    names.bits = bytes(bits)
+    names.bits = bit_set(learned.mapInArrow(places, "p long"), size)
     return names
 
 
