@@ -7,7 +7,7 @@ shares, not only the whole. Running totals are taken within buckets of a source'
 a source that holds most rows is still many tasks.
 
 Documents of no known source, and sources without share, are left out. Empty texts have no tokens and add none; they are
-left out too. Null texts count as empty. Repeated doc_ids are documents each.
+left out too; so are sources that may be repeated 0 times (null is once). Null texts count as empty. Repeated doc_ids are documents each.
 """
 
 from __future__ import annotations
@@ -42,10 +42,10 @@ def quotas(rows: DataFrame, sources: DataFrame, total: int | None = None) -> dic
     met as far as the repeats allow.
     """
     have = {r["source"]: (int(r["t"]), int(r["n"])) for r in rows.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
-    wanted = {r["source"]: (float(r["target_share"] or 0.0), int(r["max_repeat"] or 1)) for r in sources.filter("source is not null").limit(MOST_SOURCES + 1).collect()}
+    wanted = {r["source"]: (float(r["target_share"] or 0.0), 1 if r["max_repeat"] is None else int(r["max_repeat"])) for r in sources.filter("source is not null").limit(MOST_SOURCES + 1).collect()}
     if len(wanted) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    wanted = {s: w for s, w in wanted.items() if w[0] > 0 and have.get(s, (0, 0))[0] > 0}
+    wanted = {s: w for s, w in wanted.items() if w[0] > 0 and w[1] > 0 and have.get(s, (0, 0))[0] > 0}
     whole = sum(share for share, _ in wanted.values())
     if total is None:
         total = math.floor(min((repeat * have[s][0] * whole / share for s, (share, repeat) in wanted.items()), default=0))
@@ -87,16 +87,28 @@ def chosen(rows: DataFrame, quota, seed: int = 1) -> DataFrame:
 
 
 def slots(spark, quota, block: int = BLOCK_TOKENS) -> DataFrame:
-    """slot, source, k: the golden-ratio schedule, long enough for every block of every source."""
+    """slot, source, k: the golden-ratio schedule, long enough for every block of every source.
+
+    Its length is measured, not guessed: the slots of each source are counted, and it grows until none is short.
+    """
     need = {s: -(-q[2] // block) for s, q in quota.items()}
-    count = int(max((n / quota[s][0] for s, n in need.items()), default=0) * 1.02) + 64 * max(1, len(quota))
     x = F.pmod(F.pmod(F.col("id"), F.lit(TURN)) * F.lit(GOLDEN), F.lit(TURN)) / F.lit(float(TURN))
     source, edge = F.lit(None).cast("string"), 1.0
     for s in reversed(list(quota)):
         source = F.when(F.col("x") < edge + 1e-12, F.lit(s)).otherwise(source)
         edge -= quota[s][0]
-    own = spark.range(count).select(F.col("id").alias("slot"), x.alias("x")).select("slot", source.alias("source"), F.expr(f"slot div {BUCKET_SLOTS}").alias("_b"))
-    return _running(own, "source", "_b", ["slot"], F.lit(1), "k").select("slot", "source", "k")
+
+    def schedule(n: int) -> DataFrame:
+        return spark.range(n).select(F.col("id").alias("slot"), x.alias("x")).select("slot", source.alias("source"), F.expr(f"slot div {BUCKET_SLOTS}").alias("_b"))
+
+    count = math.ceil(max((n / quota[s][0] for s, n in need.items()), default=0)) + 64 * max(1, len(quota))
+    while need:
+        found = {r["source"]: r["n"] for r in schedule(count).groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+        short = [(n - found.get(s, 0)) / quota[s][0] for s, n in need.items() if found.get(s, 0) < n]
+        if not short:
+            break
+        count += math.ceil(max(short)) + 64
+    return _running(schedule(count), "source", "_b", ["slot"], F.lit(1), "k").select("slot", "source", "k")
 
 
 def mix(docs: DataFrame, sources: DataFrame, total: int | None = None, block: int = BLOCK_TOKENS, path: str = VOCABULARY, seed: int = 1) -> DataFrame:

@@ -56,12 +56,12 @@ def renamed_graph(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: canonical_graph(t, True) if t and t.strip() else None)
 
 
-def prepared(df: DataFrame) -> DataFrame:
-    """row_id, is_eval, words (null where none), set_key and graph_key (null where none)."""
+def prepared(df: DataFrame, *more: str) -> DataFrame:
+    """row_id, is_eval, words (null where none), set_key and graph_key (null where none); ``more``: split (folded) and columns to be kept."""
     side = folded_split(df["split_type"])
-    own = df.select(df["row_id"].cast("long").alias("row_id"), side.alias("_side"), df["sentence"].alias("_t"), df["penmanstr"].alias("_p"))
+    own = df.select(df["row_id"].cast("long").alias("row_id"), side.alias("_side"), df["sentence"].alias("_t"), df["penmanstr"].alias("_p"), *(side.alias("split") if c == "split" else df[c] for c in more))
     own = own.filter(F.col("_side").isin("train", "validation", "test"))
-    own = own.select("row_id", (F.col("_side") != "train").alias("is_eval"), word_hashes(F.col("_t")).alias("w"), F.unhex(F.md5(renamed_graph("_p"))).alias("graph_key"))
+    own = own.select("row_id", (F.col("_side") != "train").alias("is_eval"), word_hashes(F.col("_t")).alias("w"), F.unhex(F.md5(renamed_graph("_p"))).alias("graph_key"), *more)
     own = own.withColumn("w", F.when(F.size("w") > 0, F.col("w")))
     return own.withColumn("set_key", F.unhex(F.md5(F.array_join(F.col("w").cast("array<string>"), " "))))
 
@@ -177,7 +177,7 @@ def word_matches(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def overlaps(df: DataFrame) -> DataFrame:
-    """eval_id, train_id, by_words, by_graph, containment (part of the evaluation record's words in the training record, null without words match)."""
+    """eval_id, train_id, by_words, by_graph of every pair of records, containment (part of the evaluation record's words in the training record, null without words match)."""
     rows = cut(prepared(df))
     classes, pairs = word_matches(rows)
     members = rows.filter("set_key is not null").select("row_id", "is_eval", "set_key").join(classes, "set_key").select("row_id", "is_eval", "cid")
@@ -195,11 +195,40 @@ def overlap_pairs(df: DataFrame) -> DataFrame:
     return overlaps(df).select(F.least("eval_id", "train_id").alias("row_id_a"), F.greatest("eval_id", "train_id").alias("row_id_b"))
 
 
+def _with_classes(df: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with cid, null without words; pairs of word classes) of prepared rows, other columns kept."""
+    rows = cut(prepared(df, *more))
+    classes, pairs = word_matches(rows)
+    return rows.join(classes, "set_key", "left"), pairs
+
+
+def class_overlaps(df: DataFrame) -> DataFrame:
+    """eval_class, train_class, eval_records, train_records, containment (part of the evaluation class's words in the training class).
+
+    A class is the records with one set of words, named by its smallest row_id; so copies are counted, never paired.
+    """
+    rows, pairs = _with_classes(df)
+    sizes = cut(rows.filter("cid is not null").groupBy("cid").agg(F.count_if("is_eval").alias("e"), F.count_if(~F.col("is_eval")).alias("t")))
+    out = pairs.join(sizes.select(F.col("cid").alias("cid_e"), F.col("e").alias("eval_records")), "cid_e").join(sizes.select(F.col("cid").alias("cid_t"), F.col("t").alias("train_records")), "cid_t")
+    return out.select(F.col("cid_e").alias("eval_class"), F.col("cid_t").alias("train_class"), "eval_records", "train_records", (F.col("overlap") / F.col("n_e")).alias("containment"))
+
+
 def overlap_report(df: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per folded split and source of the evaluation records: its records, those with a counterpart in train, and the pairs."""
+    """Per folded split and source of the evaluation records: its records, those with a counterpart in train, and the pairs.
+
+    Pairs are counted from the sizes of classes: by words, and by graph, less those that are both.
+    """
     from .origin import source_of
 
-    rows = df.select(F.col("row_id").cast("long").alias("eval_id"), folded_split(df["split_type"]).alias("split"), df["id"].alias("_id")).filter("split in ('validation', 'test')")
-    rows = source_of(rows, "_id", sources).select("eval_id", "split", "source")
-    pairs = overlaps(df).groupBy("eval_id").agg(F.count(F.lit(1)).alias("k"))
-    return rows.join(pairs, "eval_id", "left").groupBy("split", "source").agg(F.count(F.lit(1)).alias("records"), F.count("k").alias("overlapping"), F.coalesce(F.sum("k"), F.lit(0)).alias("pairs"))
+    own = source_of(df.select("row_id", "split_type", "sentence", "penmanstr", F.col("id").alias("_id")), "_id", sources)
+    rows, pairs = _with_classes(own, "split", "source")
+    e = rows.filter("is_eval").groupBy("split", "source", "cid", "graph_key").agg(F.count(F.lit(1)).alias("n"))
+    t = cut(rows.filter("not is_eval").groupBy("cid", "graph_key").agg(F.count(F.lit(1)).alias("k")))
+    linked = pairs.select("cid_e", "cid_t")
+    by_words = linked.join(t.filter("cid is not null").groupBy(F.col("cid").alias("cid_t")).agg(F.sum("k").alias("k")), "cid_t").groupBy(F.col("cid_e").alias("cid")).agg(F.sum("k").alias("words"))
+    by_graph = t.filter("graph_key is not null").groupBy("graph_key").agg(F.sum("k").alias("graphs"))
+    both = e.filter("cid is not null and graph_key is not null").select(F.col("cid").alias("cid_e"), "graph_key").distinct().join(linked, "cid_e").join(t.withColumnRenamed("cid", "cid_t"), ["cid_t", "graph_key"])
+    both = both.groupBy(F.col("cid_e").alias("cid"), "graph_key").agg(F.sum("k").alias("both"))
+    counted = e.join(by_words, "cid", "left").join(by_graph, "graph_key", "left").join(both, ["cid", "graph_key"], "left")
+    k = F.coalesce("words", F.lit(0)) + F.coalesce("graphs", F.lit(0)) - F.coalesce("both", F.lit(0))
+    return counted.select("split", "source", "n", k.alias("k")).groupBy("split", "source").agg(F.sum("n").alias("records"), F.sum(F.when(F.col("k") > 0, F.col("n")).otherwise(0)).alias("overlapping"), F.sum(F.col("n") * F.col("k")).alias("pairs"))

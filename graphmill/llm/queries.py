@@ -30,7 +30,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_containment(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlaps(_samples(spark, d))
+    return overlap.class_overlaps(_samples(spark, d))
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:

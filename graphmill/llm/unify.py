@@ -4,7 +4,9 @@ Each Arrow batch is a table of an in-process DuckDB with one thread; embedded SQ
 (regexp_replace), letters that only look Latin become Latin in words otherwise Latin (translate, word by word),
 compatibility forms become the usual ones (translate; a join where one becomes several), accents are composed
 (nfc_normalize), blanks become the space. Precomposed accents, dashes, quotation marks and words wholly in another script
-stay as they are. The tables come from the Unicode data of Python by rule.
+stay as they are. The tables of compatibility forms come from the Unicode data of Python by rule; it holds no table of
+look-alikes, so these are given for six scripts. A letter of another script that looks like no Latin one stays, and its
+field is reported all the same.
 
 Null stays null; texts of any length are mapped whole; only fields that hold something to map go through the mapping.
 """
@@ -24,7 +26,10 @@ from .garble import Model, garbled_fields
 CYRILLIC = dict(zip("аеорсухіјѕԁһӏԛԝкґвАВЕКМНОРСТХУІЈЅԌԚԜҺӀ", "aeopcyxijsdhlqwkrbABEKMHOPCTXYIJSGQWHI"))
 GREEK = dict(zip("αονιρκυτχηωγσεϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "aovipkutxnwyoecjABEZHIKMNOPTYXC"))
 ARMENIAN = dict(zip("օոսհցգզյաքՕՍՏԼ", "onuhgqqjwpOUSL"))
-LOOK = {**CYRILLIC, **GREEK, **ARMENIAN}
+CHEROKEE = dict(zip("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᏀᏃᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ", "DRTiyAJEWMHGZRWSVSLCPKdGB"))
+LISU = dict(zip("ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPdDTGKJCZFMNLSRVHWXYAEIOU"))
+COPTIC = dict(zip("ⲀⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥⲭ", "ABHIKMNOPCTYXopcx"))
+LOOK = {**CYRILLIC, **GREEK, **ARMENIAN, **CHEROKEE, **LISU, **COPTIC}
 INVISIBLE = r"\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}\x{0000}-\x{0008}\x{000E}-\x{001B}\x{007F}-\x{0084}\x{0086}-\x{009F}"
 BLANK = r"\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
 OTHER = r"\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}\p{Coptic}\p{Lisu}\p{Georgian}\p{Hebrew}\p{Arabic}\p{Devanagari}\p{Hangul}\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}"

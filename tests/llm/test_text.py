@@ -3,6 +3,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphmill.llm import garble, leaks, mixing, pages, personal, tokens, unify
 
@@ -63,7 +64,7 @@ def test_token_budget(spark):
 
 # --- look-alikes
 def test_unify():
-    pairs = [("ｔｈｅ １２", "the 12"), ("hарру", "happy"), ("Мαrϲh", "March"), ("a​b­c", "abc"), ("a b c", "a b c"), ("pintó", "pintó"), ("𝐩𝐨𝐞𝐭", "poet"), ("Horkĳas", "Horkijas"), ("ﬁn", "fin")]
+    pairs = [("ｔｈｅ １２", "the 12"), ("hарру", "happy"), ("Мαrϲh", "March"), ("Ꭺpple", "Apple"), ("ꓮpple", "Apple"), ("ⲟpen", "open"), ("a​b­c", "abc"), ("a b c", "a b c"), ("pintó", "pintó"), ("𝐩𝐨𝐞𝐭", "poet"), ("Horkĳas", "Horkijas"), ("ﬁn", "fin")]
     same = ["plain", "é – “x” «y» it’s", "Жимлодар", "Κορδέναλ и", "", None, "tab\tline\nend\r\n", "Brândavel", "x" * 50_000]
     assert unify.unify([a for a, _ in pairs]) == [b for _, b in pairs]
     assert unify.unify(same) == same
@@ -263,6 +264,20 @@ def test_mix(spark):
     assert capped == most
 
 
+def test_schedule_has_every_block(spark):
+    """Also of a source with a very small share, whose points may come late."""
+    for small in (0.00013, 0.0007, 0.0021):
+        quota = {"a": (0.6, 10**7, 6 * 10**6, 1), "b": (0.4 - small, 10**7, int((0.4 - small) * 10**7), 1), "c": (small, 10**6, max(2000, int(small * 10**7)), 1)}
+        got = {r["source"]: r["n"] for r in mixing.slots(spark, quota, 1000).groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+        assert all(got[s] >= -(-q[2] // 1000) for s, q in quota.items())
+
+
+def test_sources_that_may_not_be_taken(spark):
+    d = spark.createDataFrame([(1, "a b c", "x"), (2, "a b c", "y"), (3, "a b", "z")], "doc_id long, text string, source string")
+    sources = spark.createDataFrame([("x", "x", "d", 0.5, 0), ("y", "y", "d", 0.3, None), ("z", "z", "d", 0.2, 2)], SOURCES)
+    assert {r["source"] for r in mixing.mix(d, sources).collect()} == {"y", "z"}
+
+
 # --- personal data
 LEXICON = {"tovela": 1, "kasnor": 1, "marnick": 2, "holsted": 2}
 
