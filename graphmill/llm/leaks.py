@@ -6,8 +6,9 @@ windows within a small edit distance then differ in few written places, so hashe
 sampling is repeated until the target recall is reached. For an edit distance of 0 one sampling has recall 1. Every hit is
 checked against the item's words exactly.
 
-Steps are numpy operations over all windows of a batch at once. What is broadcast is the hashes of the items' windows; the
-items are taken in blocks of a bounded number of windows, so any number of items can be asked.
+Steps are numpy operations over all windows of a batch at once. Up to BLOCK item windows their index is broadcast. More
+are partitioned by their hashes: a bit set of a fixed size tells which windows of the documents may meet one, only these
+leave the scan and are joined. Either way the documents are read once, whatever the number of items.
 
 Null and empty texts, and items or documents with fewer words than a window, match nothing. Repeated items and documents
 are matched each for itself.
@@ -24,11 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .bits import bit_set
+
 WINDOW = 15
 #: Places sampled for one hash, and the recall that repeated sampling must reach for windows at the edit distance asked.
 PLACES, RECALL = 6, 0.99
-#: Windows of items in one block: 24 bytes each are broadcast.
-BLOCK = 400_000
+#: Most windows of items whose index is broadcast, 24 bytes each for one sampling; bits of the set that sifts the windows of more.
+BLOCK, BITS = 400_000, 1 << 27
 _WORD = re.compile(r"[^\W_]+")
 _PAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -204,27 +208,68 @@ def _scan(index):
     return run
 
 
+def _places(batches):
+    """Of item windows: the positions of their hashes in the bit set."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy() & (BITS - 1))], ["p"])
+
+
+def _windows(window: int, edits: int, bits=None):
+    """(key, id, place, words) of each window and repetition; with ``bits`` only of those whose hash is in the set."""
+
+    def run(batches):
+        sampled = samplings(window, PLACES, repetitions(window, edits))
+        held = np.frombuffer(bits.value, np.uint8) if bits is not None else None
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                codes = word_codes(words_of(text))
+                for first in range(0, len(codes) - window + 1, STRETCH):
+                    starts = np.arange(first, min(first + STRETCH, len(codes) - window + 1))
+                    for k, keys in enumerate(embed(codes, starts, window, sampled)):
+                        keys = (keys ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64)
+                        at = np.arange(len(keys))
+                        if held is not None:
+                            p = keys & (BITS - 1)
+                            at = np.flatnonzero((held[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
+                        words = codes[starts[at][:, None] + np.arange(window)].view(np.int64)
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * window, pa.int32()), pa.array(words.ravel()))
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array([row] * len(at), pa.int64()), pa.array(starts[at].astype(np.int64)), lists], ["key", "id", "place", "words"])
+
+    return run
+
+
+def _checked(edits: int):
+    def run(batches):
+        for b in batches:
+            keep = [within(np.array(x), np.array(y), edits) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:3]], ["item_id", "doc_id", "place"])
+
+    return run
+
+
+def _partitioned(texts: DataFrame, asked: DataFrame, window: int, edits: int) -> DataFrame:
+    """As leaks(), for any number of items: windows of both sides meet by their hashes in a join."""
+    schema = "key long, id long, place long, words array<long>"
+    mine = cut(asked.mapInArrow(_windows(window, edits), schema))
+    bits = texts.sparkSession.sparkContext.broadcast(bit_set(mine.select("key").mapInArrow(_places, "p long"), BITS))
+    items = mine.select("key", F.col("id").alias("item_id"), F.col("words").alias("a")).distinct()
+    found = texts.mapInArrow(_windows(window, edits, bits), schema).join(items, "key").select("item_id", F.col("id").alias("doc_id"), "place", "words", "a")
+    found = found.filter(F.col("words") == F.col("a")).select("item_id", "doc_id", "place") if edits == 0 else found.mapInArrow(_checked(edits), "item_id long, doc_id long, place long")
+    return found.distinct().groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("windows"), F.min("place").alias("first_word"), (F.max("place") + window).alias("end_word"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, edits: int = 0, block: int = BLOCK) -> DataFrame:
-    """item_id, doc_id, windows (of the document that match), first_word, end_word (words of the document they span)."""
+    """item_id, doc_id, windows (of the document that match), first_word, end_word (words of the document they span).
+
+    Repeated doc_ids are one document in the numbers of more than ``block`` item windows, and rows of their own below.
+    """
     spark = docs.sparkSession
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    schema = "item_id long, doc_id long, windows long, first_word long, end_word long"
-    out, held, size = None, [], 0
-
-    def scanned(part):
-        index = spark.sparkContext.broadcast(Index(part, window, edits))
-        return texts.mapInArrow(_scan(index), schema)
-
-    for item, text in items.select(items["item_id"].cast("long"), items["text"].cast("string")).toLocalIterator():
-        codes = word_codes(words_of(text))
-        if len(codes) < window:
-            continue
-        held.append((item, codes))
-        size += len(codes)
-        if size >= block:
-            part = scanned(held)
-            out, held, size = part if out is None else out.unionByName(part), [], 0
-    if held or out is None:
-        part = scanned(held)
-        out = part if out is None else out.unionByName(part)
-    return out
+    asked = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].cast("string").alias("text"))
+    # as many windows as words, at most
+    size = asked.agg(F.sum(F.size(F.regexp_extract_all(F.col("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))))).first()[0] or 0
+    if size > block:
+        return _partitioned(texts, asked, window, edits)
+    held = [(item, codes) for item, codes in ((i, word_codes(words_of(t))) for i, t in asked.collect()) if len(codes) >= window]
+    index = spark.sparkContext.broadcast(Index(held, window, edits))
+    return texts.mapInArrow(_scan(index), "item_id long, doc_id long, windows long, first_word long, end_word long")

@@ -85,6 +85,11 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(wide_table(spark, d, "documents"), table(spark, d, "test_items"))
 
 
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Passages with one word more, less or changed."""
+    return leaks.leaks(wide_table(spark, d, "documents"), table(spark, d, "test_items"), edits=1)
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(wide_table(spark, d, "documents"), table(spark, d, "sources"))
 
@@ -101,7 +106,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redacted(wide_table(spark, d, "documents"), table(spark, d, "name_lexicon"))
 
 
-_ALL = (p2_found, p2_groups, p2_records, p3_rows, p3_budget, p4_found, p4_containment, p4_report, p5_found, p5_splits, p5_shares, p6_found, p6_unified, p7_found, p7_restored, p8_found, p8_passages, p9_mix, p9_shares, p10_found, p10_redacted)
+_ALL = (p2_found, p2_groups, p2_records, p3_rows, p3_budget, p4_found, p4_containment, p4_report, p5_found, p5_splits, p5_shares, p6_found, p6_unified, p7_found, p7_restored, p8_found, p8_passages, p8_near, p9_mix, p9_shares, p10_found, p10_redacted)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _NOBODY = ", ".join("'" + x.replace("'", "''") + "'" for x in related.NOBODY)
@@ -125,4 +130,10 @@ i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM
 dw AS (SELECT doc_id, array_to_string(w[k : k + 14], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS k FROM d)),
 iw AS (SELECT item_id, array_to_string(w[k : k + 14], ' ') AS x FROM (SELECT item_id, w, unnest(range(1, len(w) - 13)) AS k FROM i))
 SELECT DISTINCT item_id, doc_id FROM dw JOIN iw USING (x)""",
+    "p8_passages": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM test_items),
+dw AS (SELECT doc_id, k, array_to_string(w[k : k + 14], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS k FROM d)),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 14], ' ') AS x FROM (SELECT item_id, w, unnest(range(1, len(w) - 13)) AS k FROM i))
+SELECT item_id, doc_id, count(DISTINCT k) AS windows, min(k) - 1 AS first_word, max(k) + 14 AS end_word FROM dw JOIN iw USING (x) GROUP BY item_id, doc_id""",
 }

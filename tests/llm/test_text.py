@@ -209,6 +209,11 @@ def test_leaks_exact(spark):
     got = {(r["item_id"], r["doc_id"]) for r in leaks.leaks(d, q).collect()}
     assert got == want
     assert {(r["item_id"], r["doc_id"]) for r in leaks.leaks(d, q, block=90).collect()} == want
+    plan = leaks.leaks(d, q, block=90)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # the documents are scanned once
+    near = {(r["item_id"], r["doc_id"]) for r in leaks.leaks(d, q, edits=1).collect()}
+    other = {(r["item_id"], r["doc_id"]) for r in leaks.leaks(d, q, edits=1, block=90).collect()}
+    assert near == other and near >= want
     long = spark.createDataFrame([(1, " ".join(["filler words here"] * 150_000) + " " + items[2][1] + " end" * 90_000)], "doc_id long, text string")
     assert {(r["item_id"], r["first_word"], r["end_word"]) for r in leaks.leaks(long, q).collect()} == {(2, 450_000, 450_040)}
     assert leaks.leaks(d.limit(0), q).count() == 0 and leaks.leaks(d, q.limit(0)).count() == 0
