@@ -16,7 +16,7 @@ TRIPLE = T.StructType([T.StructField(f, _STRING) for f in ("source", "role", "ta
 TRIPLES = T.ArrayType(TRIPLE)
 DECODED = T.StructType([T.StructField("top", _STRING), T.StructField("triples", TRIPLES), T.StructField("error", _STRING)])
 STATUS = T.StructType([T.StructField("status", _STRING), T.StructField("triples", TRIPLES), T.StructField("error", _STRING)])
-COUNTS = T.StructType([*(T.StructField(f, T.LongType()) for f in ("matched", "n_pred", "n_gold")), T.StructField("backed_off", T.BooleanType())])
+COUNTS = T.StructType([*(T.StructField(f, T.LongType()) for f in ("matched", "n_pred", "n_gold")), T.StructField("backed_off", T.BooleanType()), T.StructField("proved", T.BooleanType())])
 
 
 def _structs(triples) -> list[dict]:
@@ -95,12 +95,12 @@ def _matched(pred: str | None, gold: str | None) -> dict:
             graphs.append(penman.Graph("d2", penman.BACKOFF_TRIPLES))
             back = True
     c = match.match(graphs[0].triples, graphs[1].triples, graphs[0].top, graphs[1].top)
-    return {"matched": c.matched, "n_pred": c.n_pred, "n_gold": c.n_gold, "backed_off": back}
+    return {"matched": c.matched, "n_pred": c.n_pred, "n_gold": c.n_gold, "backed_off": back, "proved": c.proved}
 
 
 @F.pandas_udf(COUNTS)
 def match_graphs(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_matched(p, g) for p, g in zip(pred, gold)], columns=["matched", "n_pred", "n_gold", "backed_off"])
+    return pd.DataFrame([_matched(p, g) for p, g in zip(pred, gold)], columns=["matched", "n_pred", "n_gold", "backed_off", "proved"])
 
 
 def without_wiki(triples: Column) -> Column:

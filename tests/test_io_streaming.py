@@ -35,6 +35,18 @@ def root(tmp_path):
     return str(tmp_path / "en")
 
 
+def test_blocks_with_other_line_ends(spark, tmp_path):
+    plain = "# ::id a.1\n# ::snt One.\n(a / b\n   :c (d / e))\n\n# ::id a.2\n# ::snt Two.\n(f / g)\n"
+    want = [b.strip() for b in plain.split("\n\n")]
+    for name, text in (("crlf", plain.replace("\n", "\r\n")), ("blanks", plain.replace("\n\n", "\n  \t\n")), ("cr", plain.replace("\n", "\r"))):
+        os.makedirs(tmp_path / name / "train")
+        (tmp_path / name / "train" / "x.txt").write_bytes(text.encode())
+        got = corpus.read_blocks(spark, str(tmp_path / name)).orderBy("block_no").collect()
+        assert [r["block"] for r in got] == want and len({r["block_no"] for r in got}) == 2
+        rows = corpus.read_corpus(spark, str(tmp_path / name)).orderBy("block_no").collect()
+        assert [r["sentence"] for r in rows] == ["One.", "Two."] and [r["error"] for r in rows] == [None, None]
+
+
 def test_read_corpus(spark, root):
     rows = corpus.read_corpus(spark, root, 3).collect()
     assert {r["split"] for r in rows} == {"train", "validation"}
