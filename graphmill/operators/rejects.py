@@ -179,19 +179,20 @@ def parse_lines(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw", kee
     return df.select(df[id_col].cast("long").alias("rec_id"), df[raw_col].cast("string").alias("raw")).mapInArrow(run, schema)
 
 
-def check_rows(df: DataFrame, id_col: str = "pred_id") -> DataFrame:
-    """rec_id and reason (``value`` or null) of loaded prediction rows, by the types of their three checked fields.
+def check_rows(df: DataFrame, id_col: str = "pred_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """rec_id and reason (``value`` or null) of loaded prediction rows, by the types of their three checked fields, and the columns to keep as text.
 
     Null or empty penman_str and status are valid; a null or empty reference is not a graph and so not valid.
     """
-    schema = "rec_id long, reason string"
+    schema = "rec_id long, reason string" + "".join(f", `{c}` string" for c in keep)
 
     def run(batches):
         for b in batches:
             bad = map(_bad_value, *(b.column(k).to_pylist() for k in (1, 2, 3)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["value" if x else None for x in bad], pa.string())], ["rec_id", "reason"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["value" if x else None for x in bad], pa.string()), *b.columns[4:]], ["rec_id", "reason", *keep])
 
-    return df.select(df[id_col].cast("long").alias("rec_id"), *(df[c].cast("string") for c in ("penman_str", "status", "reference_penman_str"))).mapInArrow(run, schema)
+    checked = ("penman_str", "status", "reference_penman_str")
+    return df.select(df[id_col].cast("long").alias("rec_id"), *(df[c].cast("string") for c in checked), *(df[c].cast("string").alias(f"_{c}") for c in keep)).mapInArrow(run, schema)
 
 
 def unusable(predictions: DataFrame, lines: DataFrame) -> DataFrame:
@@ -202,8 +203,7 @@ def unusable(predictions: DataFrame, lines: DataFrame) -> DataFrame:
 
 def loaded(predictions: DataFrame, lines: DataFrame) -> DataFrame:
     """The valid rows of both tables in one schema: tbl, rec_id and the seven fields (empty status and graph as null)."""
-    ok = check_rows(predictions).filter(F.col("reason").isNull()).select("rec_id")
-    own = predictions.select(F.col("pred_id").cast("long").alias("rec_id"), *FIELDS).join(ok, "rec_id", "left_semi").select(F.lit("predictions").alias("tbl"), "rec_id", *FIELDS)
+    own = check_rows(predictions, keep=FIELDS).filter(F.col("reason").isNull()).select(F.lit("predictions").alias("tbl"), "rec_id", *FIELDS)
     read = parse_lines(lines).filter(F.col("reason").isNull()).select(F.lit("prediction_lines").alias("tbl"), "rec_id", *FIELDS)
     both = own.unionByName(read)
     return both.select("tbl", "rec_id", *(F.nullif(F.col(c), F.lit("")).alias(c) if c in ("penman_str", "status") else F.col(c) for c in FIELDS))
